@@ -23,6 +23,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTER, MARK, INVISIBLE, SPACE, DIGIT, VISIBLE = 1, 2, 4, 8, 16, 32
 LATIN, GREEK, CYRILLIC, OTHER = 1, 2, 4, 8
@@ -164,7 +165,7 @@ def encode(cp: np.ndarray, off: np.ndarray, valid: np.ndarray | None = None) ->
     data = cp.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     out = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(size[off].astype(np.int64).tobytes()), pa.py_buffer(data))
     if valid is not None and not valid.all():
-        out = pa.compute.if_else(pa.array(valid), out, pa.scalar(None, pa.large_string()))
+        out = pc.if_else(pa.array(valid), out, pa.scalar(None, pa.large_string()))
     return out.cast(pa.string())
 
 

@@ -21,6 +21,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,7 +196,7 @@ def encoder(path: str) -> Encoder:
 
 def _parts(batch: pa.RecordBatch, points: int = 1_000_000):
     """Slices of a batch of about so many bytes of text."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size)
     i = 0
     while i < len(size):
