@@ -71,6 +71,8 @@ class Tables:
         self.base = np.arange(_EXTENT, dtype=np.uint32)  # lower case, unmarked
         self.many: dict[int, str] = {}             # one-to-several part of the form
         self.long = np.zeros(_EXTENT, np.bool_)
+        self.low = np.zeros(_EXTENT, np.bool_)     # small letters
+        self.high = np.zeros(_EXTENT, np.bool_)    # capitals
         self.twin = {s: np.arange(_EXTENT, dtype=np.uint32) for s in (LATIN, GREEK, CYRILLIC)}
         self.alike = np.zeros(_EXTENT, np.bool_)
         self.mixed = scramble(np.arange(1, _EXTENT + 1, dtype=np.uint64))
@@ -114,6 +116,7 @@ class Tables:
                 b = (bare or [ch])[0]
                 self.base[c] = ord("σ" if b in "ςϲ" else b)
                 name = unicodedata.name(form[0], "").split(" ")[0]
+                self.low[c], self.high[c] = cat == "Ll", cat in ("Lu", "Lt")
                 self.script[c] = _SCRIPTS.get(name, OTHER)
             self.known[c] = True
 

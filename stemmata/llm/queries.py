@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import canonical, mixing, neardup, shared, survivor, terms, tokens
+from . import canonical, mixing, neardup, quality, shared, survivor, terms, tokens
 
-_MODULES = [neardup, survivor, terms, canonical, shared, tokens, mixing]
+_MODULES = [neardup, survivor, terms, canonical, shared, tokens, mixing, quality]
 
 
 def queries() -> dict:
