@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from .plans import compare_queries
+
+    return [compare_queries]
 
 
 def queries() -> dict:
