@@ -8,9 +8,10 @@ Method: size-banded tiles with hashed bitmap signatures.
 1. Every occurrence of a term is an element of its own: (term, 1st), (term, 2nd), ...
    Elements have one global order, rarest first, by a fixed-size sketch of frequencies
    (2^20 counters over all rows, so its size never depends on the data).
-2. If two records share the required number of elements, they share one of the rarest
-   ``n - ceil(similarity * n) + 1`` of each.  A record goes into one tile for each of those;
-   an element the sketch has counted once needs none.
+2. If two records share the required number ``t`` of elements, they share at least ``m`` of
+   those that are among the rarest ``n - t + m`` of both.  A record goes into one tile for
+   each of these; an element the sketch has counted once needs none.  A pair is looked at
+   further only if it is met in ``m`` tiles (``MEETINGS``).
 3. In a tile, records are sorted by size, so a record only meets those of its size band
    (sizes within the similarity of each other).  The place of the element and the bit count
    of the two 256-bit signatures bound the overlap from above; survivors are checked by an
@@ -38,6 +39,7 @@ from .common import as_long, class_pairs, cut, narrow, pieces, ratio, small, tab
 SKETCH_BITS = 20
 SIGNATURE_BITS, OWN_BITS = 256, 64
 BLOCK_ROWS, MOST_BLOCKS = 20_000, 4096
+MEETINGS = 3
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
@@ -126,7 +128,7 @@ def _sorted_elements(t: C.Terms, rows: int, min_terms: int, order: Order):
     return r, key, b, n, place
 
 
-def _tiles(min_terms: int, num: int, den: int, shared):
+def _tiles(min_terms: int, num: int, den: int, meetings: int, shared):
     def run(batches):
         order = shared.value
         for ids, _, cp, off in pieces(batches):
@@ -141,7 +143,7 @@ def _tiles(min_terms: int, num: int, den: int, shared):
             bits[r, np.where(own > 0, own.astype(np.int64) - 1, light.astype(np.int64))] = True
             sig = np.packbits(bits, axis=1).view(np.int64).reshape(rows, SIGNATURE_BITS // 64)
             need = -(-n * num // den)
-            at = np.flatnonzero((place < (n - need + 1)[r]) & ~order.single[b])
+            at = np.flatnonzero((place < (n - need + meetings)[r]) & ~order.single[b])
             if not len(at):
                 continue
             doc = as_long(ids)
@@ -161,8 +163,8 @@ def _tiles(min_terms: int, num: int, den: int, shared):
     return run
 
 
-def _meet(cols: list[np.ndarray], num: int, den: int):
-    """Pairs of one run of whole tiles, sorted by (key, tile, n), that may reach the overlap."""
+def _meet(cols: list[np.ndarray], num: int, den: int, meetings: int):
+    """Pairs of one run of whole tiles, sorted by (key, tile, n), that may reach the overlap; and how often they met."""
     key, tile, blk, doc, n, pos, *sig = cols
     size = len(key)
     last = np.ones(size, np.bool_)
@@ -180,7 +182,7 @@ def _meet(cols: list[np.ndarray], num: int, den: int):
             break
         j = i + lag
         need = -(-n[j].astype(np.int64) * num // den)
-        ok = np.minimum(left[i], left[j]) >= need
+        ok = np.minimum(left[i], left[j]) > need - meetings
         if cross[i].any():
             ok &= ~cross[i] | (blk[i] != blk[j])
         a, b, need = i[ok], j[ok], need[ok]
@@ -195,19 +197,21 @@ def _meet(cols: list[np.ndarray], num: int, den: int):
         lag += 1
     if not got:
         return None
-    pairs = np.unique(np.concatenate(got), axis=0)
-    return pairs[pairs[:, 0] < pairs[:, 1]]
+    pairs, met = np.unique(np.concatenate(got), axis=0, return_counts=True)
+    ok = pairs[:, 0] < pairs[:, 1]
+    return pairs[ok], met[ok]
 
 
-def _matcher(num: int, den: int):
+def _matcher(num: int, den: int, meetings: int):
     def run(batches):
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def flush(cols):
-            p = _meet(cols, num, den)
-            if p is not None and len(p):
-                return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            got = _meet(cols, num, den, meetings)
+            if got is not None and len(got[1]):
+                p, met = got
+                return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(met.astype(np.int64))], names=["a", "b", "met"])
             return None
 
         for b in batches:
@@ -260,6 +264,7 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_terms: int = 20):
         spark = df.sparkSession
         num, den = ratio(similarity)
+        meetings = min(MEETINGS, max(1, -(-min_terms * num // den)))
         src = narrow(df, id_col, text_col).where("id is not null and text is not null")
         seen = cut(src.mapInArrow(_survey(min_terms), _FIRST))
         counts = seen.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()  # at most 2^20 rows
@@ -272,12 +277,13 @@ class NearDuplicates:
         self.members = cut(self.sizes.join(classes, group).select("rep", "id", "size").distinct())
         spare = self.members.where("id <> rep").select("id").distinct()
         first = src.join(small(spare, spare.count()), "id", "left_anti")
-        tiles = first.mapInArrow(_tiles(min_terms, num, den, shared), _TILE).repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
-        maybe = tiles.mapInArrow(_matcher(num, den), "a long, b long").distinct()
-        #: (a, b): pairs that passed both bounds
-        self.candidates = maybe = cut(maybe)
+        tiles = first.mapInArrow(_tiles(min_terms, num, den, meetings, shared), _TILE).repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
+        maybe = tiles.mapInArrow(_matcher(num, den, meetings), "a long, b long, met long").groupBy("a", "b").agg(F.sum("met").alias("met"))
+        #: (a, b): pairs that passed the bounds in enough tiles
+        self.candidates = maybe = cut(maybe.where(F.col("met") >= meetings).select("a", "b"))
         ends = maybe.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
         full = src.mapInArrow(_arrays(min_terms, shared), "id long, elements array<long>")
+        full = full.join(small(ends.select("id").distinct(), maybe.count() * 2), "id", "left_semi")
         # both arrays of a pair meet in one group of two rows; n is the longer size
         met = ends.join(full, "id").groupBy("a", "b").agg(F.max_by("elements", "id").alias("x"), F.min_by("elements", "id").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
