@@ -99,7 +99,7 @@ def strip_greek(s: pd.Series) -> pd.Series:
 def first_script(c: Column) -> Column:
     """``grc`` or ``la`` by the first Greek or ASCII letter, else null."""
     ch = F.regexp_extract(c, "([Ͱ-Ͽἀ-῿A-Za-z])", 1)
-    return F.when(ch == "", None).when(ch.rlike("[A-Za-z]"), "la").otherwise("grc")
+    return F.when(ch.rlike("[A-Za-z]"), "la").when(ch != "", "grc")
 
 
 def viaf_curie(c: Column) -> Column:
@@ -155,3 +155,30 @@ def format_era(birth: Column, death: Column) -> Column:
         .when((b >= 0) & (d >= 0), span(ordinal, " c. A.D."))
         .when(year.isNotNull(), F.concat(ordinal(alone), F.when(year < 0, " c. B.C.").otherwise(" c. A.D.")))
     )
+
+
+# Abbreviations of genres that may close an author's name.
+GENRES = (
+    "hist.", "phil.", "comic.", "trag.", "epic.", "gramm.", "lyr.", "rhet.", "eccl.", "med.", "soph.", "poeta", "theol.", "eleg.", "alchem.", "epigr.",
+    "iamb.", "geogr.", "orat.", "math.", "astrol.", "apol.", "perieg.", "astron.", "erot.", "mech.", "paradox.", "biogr.", "tact.", "myth.",
+    "chronogr.", "parodius", "geom.", "paroemiogr.", "epist.", "epistulae", "epistula", "mus.", "fab.", "lexicogr.", "lex.", "pharmac.", "iatr.",
+    "dialect.", "scr.", "poet.", "et",
+)
+
+
+def peel_epitheton(display: Column) -> Column:
+    """struct(name, epitheton): the trailing genre words of a display name, or null if there are none."""
+    tokens = F.filter(F.split(F.trim(display), r"(?U)\s+"), lambda t: t != "")
+    is_genre = lambda t: F.regexp_replace(F.lower(t), r"^[<>()\[\],]+|[<>()\[\],]+$", "").isin(*GENRES)
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+    step = lambda acc, t: F.struct((acc["n"] + F.when(acc["open"] & is_genre(t), 1).otherwise(0)).alias("n"), (acc["open"] & is_genre(t)).alias("open"))
+    tail = F.aggregate(F.reverse(tokens), start, step)["n"]
+    kept = F.size(tokens) - tail
+    name = F.when(tail == 0, F.trim(display)).otherwise(F.array_join(F.slice(tokens, 1, kept), " "))
+    return F.when(display.isNotNull(), F.struct(name.alias("name"), F.when(tail > 0, F.array_join(F.slice(tokens, kept + 1, F.greatest(tail, F.lit(1))), " ")).alias("epitheton")))
+
+
+def digits(c: Column, width: int) -> Column:
+    """The first digits of an identifier, zero-filled; null without digits."""
+    d = F.regexp_extract(F.coalesce(c, F.lit("")), "([0-9]+)", 1)
+    return F.when(d == "", None).otherwise(zero_fill(d, width))
