@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import units as U
+from ..operators.shared import cut
 from .params import Params
 
 
@@ -26,6 +27,13 @@ class Compare:
             left, right = (d.orderBy("unit").limit(self.p.cap_units) for d in (left, right))
         self.left = left.select(F.col("unit").alias("i"), F.col("label").alias("label_i"), F.col("orig").alias("orig_i"), "norm")
         self.right = right.select(F.col("unit").alias("j"), F.col("label").alias("label_j"), F.col("orig").alias("orig_j"), "norm")
+        self._kept_tables: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        """A step that several results build on, computed once and kept in the shared folder."""
+        if name not in self._kept_tables:
+            self._kept_tables[name] = cut(make())
+        return self._kept_tables[name]
 
     # -- phase 1: candidates and scores
 
@@ -42,6 +50,9 @@ class Compare:
 
     def candidates(self) -> DataFrame:
         """(i, j, shared, rank): the best pairs by shared bigrams; ties by i, then j."""
+        return self._once("candidates", self._candidates)
+
+    def _candidates(self) -> DataFrame:
         right = U.bigrams(self.right, "j").join(self.usable_grams(), "gram", "left_semi")
         shared = U.bigrams(self.left, "i").join(right, "gram").groupBy("i", "j").agg(F.count("*").alias("shared"))
         best = shared.where(F.col("shared") >= self.p.min_shared).orderBy(F.desc("shared"), "i", "j").limit(self.p.max_candidates)
@@ -84,10 +95,13 @@ class Compare:
         """(side, unit, norm) of all units with grams."""
         return self.weights().groupBy("side", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    def scored(self, pairs: DataFrame | None = None) -> DataFrame:
+    def scored(self) -> DataFrame:
         """(i, j, shared, rank, score): cosine of each candidate, 0 where a side has no grams."""
-        c = self.candidates() if pairs is None else pairs
-        w = self.weights(self._ends(c))
+        return self._once("scored", self._scored)
+
+    def _scored(self) -> DataFrame:
+        c = self.candidates()
+        w = cut(self.weights(self._ends(c)))  # grams of at most 2 * max_candidates units
         wi = w.where("side = 1").select(F.col("unit").alias("i"), "gram", F.col("w").alias("wi"))
         wj = w.where("side = 2").select(F.col("unit").alias("j"), "gram", F.col("w").alias("wj"))
         dot = c.select("i", "j").join(wi, "i").join(wj, ["j", "gram"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
@@ -145,6 +159,9 @@ class Compare:
 
     def blocks(self) -> DataFrame:
         """(i, j, d, a, n, core, runs): runs at most n_out words apart, fused."""
+        return self._once("blocks", self._blocks)
+
+    def _blocks(self) -> DataFrame:
         w = Window.partitionBy("i", "j", "d").orderBy("start")
         gap = F.col("start") - F.lag(F.col("start") + F.col("len")).over(w)
         opens = F.when(gap.isNull() | (gap > self.p.n_out), 1).otherwise(0)
