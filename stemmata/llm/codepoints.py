@@ -306,6 +306,8 @@ def consistent(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rows = np.searchsorted(off, start[mixed], "right") - 1
     other |= made
     other[rows] = True
+    if len(rows):  # a letter of the right script may take up marks the other could not
+        cp, off, _ = clusters(cp, off, t)
     return cp, off, other
 
 
