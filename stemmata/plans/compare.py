@@ -25,8 +25,9 @@ class Compare:
         self.p = params.clamped()
         if self.p.cap_units is not None:
             left, right = (d.orderBy("unit").limit(self.p.cap_units) for d in (left, right))
-        self.left = left.select(F.col("unit").alias("i"), F.col("label").alias("label_i"), F.col("orig").alias("orig_i"), "norm")
-        self.right = right.select(F.col("unit").alias("j"), F.col("label").alias("label_j"), F.col("orig").alias("orig_j"), "norm")
+        # words are cut and normalised once; every step below reads these tables
+        self.left = cut(left.select(F.col("unit").alias("i"), F.col("label").alias("label_i"), F.col("orig").alias("orig_i"), "norm"))
+        self.right = cut(right.select(F.col("unit").alias("j"), F.col("label").alias("label_j"), F.col("orig").alias("orig_j"), "norm"))
         self._kept_tables: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make) -> DataFrame:
@@ -53,8 +54,12 @@ class Compare:
         return self._once("candidates", self._candidates)
 
     def _candidates(self) -> DataFrame:
-        right = U.bigrams(self.right, "j").join(self.usable_grams(), "gram", "left_semi")
-        shared = U.bigrams(self.left, "i").join(right, "gram").groupBy("i", "j").agg(F.count("*").alias("shared"))
+        # 64-bit hashes stand for bigrams here: shorter keys for the largest join
+        hashed = lambda units, key: U.bigrams(units, key).select(key, F.xxhash64("gram").alias("g"))
+        right = cut(hashed(self.right, "j"))
+        usable = right.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= self.cap()).select("g")
+        right = right.join(usable, "g", "left_semi")
+        shared = hashed(self.left, "i").join(right, "g").groupBy("i", "j").agg(F.count("*").alias("shared"))
         best = shared.where(F.col("shared") >= self.p.min_shared).orderBy(F.desc("shared"), "i", "j").limit(self.p.max_candidates)
         # at most max_candidates rows
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("shared"), "i", "j")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import units as U
+from ..operators.shared import spread
 from .compare import Compare
 from .params import Params
 
@@ -19,12 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def section_units(spark: SparkSession, folder: str, p: Params = Params()) -> DataFrame:
-    s = table(spark, folder, "sections").select(F.col("section_id").alias("unit"), "label", "text")
+    s = spread(table(spark, folder, "sections").select(F.col("section_id").alias("unit"), "label", "text"))
     return U.tokenised(s, ["unit", "label"], F.col("text"), p)
 
 
 def document_units(spark: SparkSession, folder: str, p: Params = Params()) -> DataFrame:
-    w = U.windows(table(spark, folder, "documents").withColumn("text", X.strip_milestones(F.col("text"))), "doc_id", "text", p.window, p.overlap)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).withColumn("text", X.strip_milestones(F.col("text")))
+    w = U.windows(docs, "doc_id", "text", p.window, p.overlap)
     d = w.select((F.col("doc_id") * PER_TEXT + F.col("k")).alias("unit"), F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("k").cast("string")).alias("label"), F.array_join("words", " ").alias("text"))
     return U.tokenised(d, ["unit", "label"], F.col("text"), p)
 
@@ -43,12 +45,12 @@ def strip_milestones(spark, folder):
 
 
 def word_tokens(spark, folder):
-    w = table(spark, folder, "sections").select("section_id", X.words(X.strip_milestones(F.col("text"))).alias("w"))
+    w = spread(table(spark, folder, "sections").select("section_id", "text")).select("section_id", X.words(X.strip_milestones(F.col("text"))).alias("w"))
     return w.where("w is not null").select("section_id", F.size("w").alias("n_words"), F.array_join("w", " ").alias("words"))
 
 
 def unit_windows(spark, folder):
-    d = table(spark, folder, "documents").withColumn("text", X.strip_milestones(F.col("text")))
+    d = spread(table(spark, folder, "documents").select("doc_id", "text")).withColumn("text", X.strip_milestones(F.col("text")))
     w = U.windows(d, "doc_id", "text")
     return w.select("doc_id", "k", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
 
@@ -129,7 +131,7 @@ def bridge_words(spark, folder):
 
 
 def compare_pairs(spark, folder):
-    return comparison(spark, folder).pairs().withColumn("score", F.round("score", 3))
+    return comparison(spark, folder).pairs()
 
 
 def compare_top60(spark, folder):
@@ -160,8 +162,8 @@ def compare_detail(spark, folder):
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "µϐϑϕϖϰϱϲϵΩſªº¹²³⁴⁵⁶⁷⁸⁹⁰"
 _SLIM = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "μβθφπκρςεΩsao1234567890"
 #: One ASCII sign per letter, so that a byte-wise distance counts letters.
-_LETTERS = "αβγδεζηθικλμνξοπρσςτυφχψωаеорсіхвкмнтуıϛϟß"
-_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<="[: len(_LETTERS)]
+_LETTERS = "αβγδεζηθικλμνξοπρσςτυφχψωаеорсіхвкмнтуıϛϟßæøðþđ"
+_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^`{|}~"[: len(_LETTERS)]
 
 
 def _q(s: str) -> str:
@@ -242,7 +244,7 @@ br as (select gp.*, round(100.0 * (1.0 - levenshtein(x, y) / (length(x) + length
 bw as (select i, j, k, d, fuzz, unnest(range(g0, g1)) wi from br)"""
 
 _PAIRS = """,
-pairs as (select m.i, m.j, x.rank, round(x.score, 3) score,
+pairs as (select m.i, m.j, x.rank, round(x.score, 4) score,
   (select count(*) from blocks b where b.i = m.i and b.j = m.j) n_blocks, q.n_chained, q.chain_len, m.matched_words, m.lo_i, m.hi_i, m.lo_j, m.hi_j from
   (select i, j, count(*) filter (side = 'i') matched_words, min(word) filter (side = 'i') lo_i, max(word) filter (side = 'i') hi_i, min(word) filter (side = 'j') lo_j, max(word) filter (side = 'j') hi_j from matched group by i, j) m
   join (select i, j, count(*) n_chained, max(n) chain_len from kept group by i, j) q on q.i = m.i and q.j = m.j join scored x on x.i = m.i and x.j = m.j),
