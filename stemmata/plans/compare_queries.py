@@ -162,7 +162,7 @@ def compare_detail(spark, folder):
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "µϐϑϕϖϰϱϲϵΩſªº¹²³⁴⁵⁶⁷⁸⁹⁰"
 _SLIM = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "μβθφπκρςεΩsao1234567890"
 #: One ASCII sign per letter, so that a byte-wise distance counts letters.
-_LETTERS = "αβγδεζηθικλμνξοπρσςτυφχψωаеорсіхвкмнтуıϛϟßæøðþđ⁄"
+_LETTERS = "αβγδεζηθικλμνξοπρσςτυφχψωаеорсіхвкмнтуıϛϟßæøðþđ⁄𐅄𐅵"
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^`{|}~"[: len(_LETTERS)]
 
 
