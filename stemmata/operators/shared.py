@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """With rank = 1, 2, ... in the given order: each sorted part counts on from those before it."""
+    place = F.monotonically_increasing_id()  # part * 2^33 + place in the part
+    rows = cut(df.orderBy(*order).withColumn("place", place)).withColumn("part", F.shiftright("place", 33))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"))  # one row per part
+    rank = F.col("before") + F.col("place") - F.shiftleft("part", 33) + 1
+    return rows.join(F.broadcast(parts), "part").select(*df.columns, rank.alias("rank"))

@@ -1,10 +1,10 @@
 """Text-reuse comparison of two collections of units, as one declarative plan.
 
 Candidates are pairs that share enough rare word bigrams (an equi-join behind a cap on the
-units a bigram may occur in, so no posting list is unbounded); the best ``max_candidates``
-are scored by the cosine of TF-IDF weighted leave-n-out grams, and aligned: words match by
+units a bigram may occur in, so no posting list is unbounded); they, or the best
+``max_candidates`` of them if it is set, are scored by the cosine of TF-IDF weighted leave-n-out grams, and aligned: words match by
 edit distance, runs of matches on one diagonal are islands, and islands close to each other
-fuse into blocks.  Everything after the top-k works on at most ``max_candidates`` pairs.
+fuse into blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import units as U
-from ..operators.shared import cut
+from ..operators.shared import cut, ranked
 from .params import Params
 
 
@@ -60,7 +60,10 @@ class Compare:
         usable = right.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= self.cap()).select("g")
         right = right.join(usable, "g", "left_semi")
         shared = hashed(self.left, "i").join(right, "g").groupBy("i", "j").agg(F.count("*").alias("shared"))
-        best = shared.where(F.col("shared") >= self.p.min_shared).orderBy(F.desc("shared"), "i", "j").limit(self.p.max_candidates)
+        enough = shared.where(F.col("shared") >= self.p.min_shared)
+        if self.p.max_candidates is None:
+            return ranked(enough, F.desc("shared"), "i", "j")
+        best = enough.orderBy(F.desc("shared"), "i", "j").limit(self.p.max_candidates)
         # at most max_candidates rows
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("shared"), "i", "j")))
 
@@ -106,7 +109,7 @@ class Compare:
 
     def _scored(self) -> DataFrame:
         c = self.candidates()
-        w = cut(self.weights(self._ends(c)))  # grams of at most 2 * max_candidates units
+        w = cut(self.weights(self._ends(c)))  # grams of the units in candidates
         wi = w.where("side = 1").select(F.col("unit").alias("i"), "gram", F.col("w").alias("wi"))
         wj = w.where("side = 2").select(F.col("unit").alias("j"), "gram", F.col("w").alias("wj"))
         dot = c.select("i", "j").join(wi, "i").join(wj, ["j", "gram"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
@@ -243,7 +246,7 @@ class Compare:
 
         ``toLocalIterator`` over ``orderBy("seq")`` delivers it incrementally.
         """
-        c = self.chosen().withColumn("n", F.row_number().over(Window.orderBy("rank")))  # at most max_candidates rows
+        c = self.chosen().withColumn("n", F.row_number().over(Window.orderBy("rank")))  # one task, as the running count below
         p = self.pairs().drop("score")
         hit = c.join(p, ["i", "j", "rank"], "left")
         found = F.count("chain_len").over(Window.orderBy("n"))

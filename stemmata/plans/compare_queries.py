@@ -13,6 +13,8 @@ from .params import Params
 
 #: Windows of one document at most, in the numbering of units (document * this + window).
 PER_TEXT = 1_000_000
+#: The limit on candidates is meant for one pair of works; over the corpus all of them go on.
+CORPUS = Params(max_candidates=None)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def document_units(spark: SparkSession, folder: str, p: Params = Params()) -> Da
     return U.tokenised(d, ["unit", "label"], F.col("text"), p)
 
 
-def comparison(spark: SparkSession, folder: str, p: Params = Params()) -> Compare:
+def comparison(spark: SparkSession, folder: str, p: Params = CORPUS) -> Compare:
     return Compare(section_units(spark, folder, p), document_units(spark, folder, p), p)
 
 

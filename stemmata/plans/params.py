@@ -13,7 +13,7 @@ class Params:
     fuzz_threshold: float = 0.75      # 0.5 to 1
     similarity_threshold: float = 0.0
     min_shared: int = 3
-    max_candidates: int = 4000
+    max_candidates: int | None = 4000  # None: all candidates go on
     cap_words: int = 400
     cap_units: int | None = None      # None: all units take part
     window: int = 140

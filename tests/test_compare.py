@@ -6,6 +6,7 @@ import math
 import pytest
 
 from stemmata.operators import subwords, units
+from stemmata.plans import compare_queries
 from stemmata.plans.compare import Compare
 from stemmata.plans.params import Params
 from stemmata.sources import sinks
@@ -88,3 +89,17 @@ def test_subwords(spark):
     assert [(r["subword"], r["n"]) for r in subwords.stop_subwords(f, merges).collect()] == [("ab</w>", 3), ("abc</w>", 2)]
     assert f.select(subwords.encoder(merges, 0)("word").alias("s")).first()["s"] == ["a", "b"]
     assert {(r["a"], r["b"]): r["n"] for r in subwords.pair_frequencies(f).collect()} == {("a", "b"): 5, ("b", "</w>"): 3, ("b", "c"): 2, ("c", "</w>"): 2}
+
+
+def test_corpus_queries_keep_all_candidates(spark, tmp_path):
+    # 70 equal sections against 70 documents of the same text: 4900 pairs, more than 4000; each bigram
+    # occurs in 70 / 7000 units, under the cap of 4 %
+    sections = [(i, f"L{i}", "a b c d e") for i in range(70)]
+    documents = [(j, "a b c d e" if j < 70 else "x") for j in range(7000)]
+    spark.createDataFrame(sections, "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = compare_queries.candidate_pairs(spark, str(tmp_path)).collect()
+    want = sorted((i, j * compare_queries.PER_TEXT + 1) for i in range(70) for j in range(70))
+    assert [(r["i"], r["j"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+    assert sorted(r["rank"] for r in got) == list(range(1, 4901))
+    assert compare_queries.scored_pairs(spark, str(tmp_path)).count() == 4900
