@@ -147,8 +147,8 @@ def compare_tsv_rows(spark, folder):
 
 
 def compare_dense(spark, folder):
-    """The exhaustive mode on the sections of each author against each other work of the same tables."""
-    return comparison(spark, folder).all_pairs().where("score >= 0.02").select("i", "j", F.round("score", 6).alias("score"))
+    """The exhaustive mode: every section and document window with a common gram."""
+    return comparison(spark, folder).all_pairs().select("i", "j", F.round("score", 6).alias("score"))
 
 
 def compare_events(spark, folder):

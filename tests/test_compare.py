@@ -2,6 +2,8 @@
 
 import json
 import math
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -103,3 +105,22 @@ def test_corpus_queries_keep_all_candidates(spark, tmp_path):
     assert [(r["i"], r["j"]) for r in sorted(got, key=lambda r: r["rank"])] == want
     assert sorted(r["rank"] for r in got) == list(range(1, 4901))
     assert compare_queries.scored_pairs(spark, str(tmp_path)).count() == 4900
+
+
+def test_dense_keeps_every_common_gram(spark, tmp_path):
+    # one common gram among hundreds of others: a score far under 0.02
+    sections = [" ".join(f"s{i}x{k}" for k in range(130)) + " a b c d" for i in range(2)] + ["p q r s"]
+    documents = [" ".join(f"d{j}x{k}" for k in range(130)) + " a b c e" for j in range(2)] + ["p q r s", "v w x y"]
+    spark.createDataFrame([(i, f"L{i}", t) for i, t in enumerate(sections)], "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame(list(enumerate(documents)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    left, right = ([Counter(".".join(w[k + x] for x in c) for k in range(len(w) - 3) for c in combinations(range(4), 3)) for w in map(str.split, side)] for side in (sections, documents))
+    df = Counter(g for u in left + right for g in u)
+    weigh = lambda u: {g: c / sum(u.values()) * (math.log(1 + len(left + right) / (1 + df[g])) + 1) for g, c in u.items()}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    want = {}
+    for i, a in enumerate(map(weigh, left)):
+        for j, b in enumerate(map(weigh, right)):
+            if a.keys() & b.keys():
+                want[i, j * compare_queries.PER_TEXT + 1] = round(sum(a[g] * b[g] for g in a.keys() & b.keys()) / (norm(a) * norm(b)), 6)
+    got = {(r["i"], r["j"]): r["score"] for r in compare_queries.compare_dense(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(got) == 5 and min(got.values()) < 0.02
