@@ -49,3 +49,23 @@ def leave_out_grams(units: DataFrame, key: str, p: Params) -> DataFrame:
     one = lambda k: F.array(*[F.concat_ws("\u0001", *[F.element_at("norm", k + i) for i in c]) for c in choices])
     grams = F.flatten(F.transform(F.sequence(F.lit(1), n - p.ngram + 1), one))
     return units.where(n >= p.ngram).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+
+
+def similar_words(words: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of the distinct ``w`` that ``word_match`` at the threshold (0.5 and above), none left out.
+
+    Words x and y, x not the longer, may be k edits apart. Of k + 1 pieces of x one is left whole
+    by k edits, at most k places from where it was; so the two meet in a piece of equal text.
+    """
+    edits = lambda n, m: F.floor(F.lit(1.0 - threshold) * (n + m) + F.lit(1e-9)).cast("int")
+    own, lx, ly, k = F.length("w"), F.col("lx"), F.col("ly"), F.col("k")
+    most = (2.0 - threshold) / threshold  # of the lengths
+    near = lambda df: df.withColumn("k", edits(lx, ly)).where((k >= 1) & (ly - lx <= k)).withColumn("p", F.explode(F.sequence(F.lit(0), k)))
+    start, end = (F.floor((F.col("p") + d) * lx / (k + 1)).cast("int") for d in (0, 1))
+    x = near(words.select("w", own.alias("lx"), F.explode(F.sequence(own, F.ceil(own * most).cast("int"))).alias("ly")))
+    y = near(words.select("w", own.alias("ly"), F.explode(F.sequence(F.floor(own / most).cast("int"), own)).alias("lx")))
+    x = x.select(F.col("w").alias("x"), "lx", "ly", "p", F.substring("w", start + 1, end - start).alias("piece"))
+    y = y.withColumn("at", F.explode(F.sequence(F.greatest(start - k, F.lit(0)), F.least(start + k, ly - (end - start)))))
+    y = y.select(F.col("w").alias("y"), "lx", "ly", "p", F.substring("w", F.col("at") + 1, end - start).alias("piece"))
+    met = x.join(y, ["lx", "ly", "p", "piece"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.where(X.word_match(F.col("a"), F.col("b"), threshold))

@@ -95,11 +95,9 @@ def vocab_size(spark, folder):
 
 
 def similar_types(spark, folder):
-    """Author names of canon that nearly agree: a fuzzy word join, blocked by the first letters."""
-    n = table(spark, folder, "canon").select(F.explode(X.words(F.lower("author_name_latin"))).alias("w")).where(F.length("w") >= 4).distinct()
-    a, b = n.select(F.col("w").alias("a"), F.substring("w", 1, 3).alias("key")), n.select(F.col("w").alias("b"), F.substring("w", 1, 3).alias("key"))
-    hit = a.join(b, "key").where((F.col("a") < F.col("b")) & X.word_match(F.col("a"), F.col("b"), 0.9))
-    return hit.select("a", "b", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+    """Author names of canon that nearly agree: a fuzzy word join, blocked by pieces left whole."""
+    n = table(spark, folder, "canon").select(F.explode(X.words(F.lower("author_name_latin"))).alias("w")).distinct()
+    return U.similar_words(n, 0.9).select("a", "b", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
 
 
 def levenshtein_ratio(spark, folder):

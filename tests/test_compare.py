@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -124,3 +125,34 @@ def test_dense_keeps_every_common_gram(spark, tmp_path):
                 want[i, j * compare_queries.PER_TEXT + 1] = round(sum(a[g] * b[g] for g in a.keys() & b.keys()) / (norm(a) * norm(b)), 6)
     got = {(r["i"], r["j"]): r["score"] for r in compare_queries.compare_dense(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=2e-6) and len(got) == 5 and min(got.values()) < 0.02
+
+
+def alike(a, b, threshold):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    total = len(a) + len(b)
+    return abs(len(a) - len(b)) / total <= 1.0 - threshold and 1.0 - row[-1] / total >= threshold
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.9])
+def test_similar_words_by_brute_force(spark, threshold):
+    r = random.Random(7)
+    some = {"adensis", "odensis", "aebudes", "tebudes", "ab", "abc", "abd"} | {"".join(r.choice("abαé") for _ in range(r.randint(1, 14))) for _ in range(40)}
+    for w in sorted(some):
+        for edits in (1, 2, 3):
+            for _ in range(edits):
+                k = r.randrange(len(w) + 1)
+                w = w[:k] + r.choice(["", "b", "é", "xy"]) + w[k + r.randrange(2):]
+            some.add(w or "a")
+    want = {(a, b) for a, b in combinations(sorted(some), 2) if alike(a, b, threshold)}
+    got = [tuple(x) for x in units.similar_words(spark.createDataFrame([(w,) for w in sorted(some)], "w string"), threshold).collect()]
+    assert set(got) == want and len(got) == len(want) and ("adensis", "odensis") in want
+
+
+def test_similar_types_with_other_first_letters(spark, tmp_path):
+    spark.createDataFrame([("Adensis Tebudes",), ("Odensis aebudes",), (None,)], "author_name_latin string").write.parquet(f"{tmp_path}/canon.parquet")
+    got = compare_queries.similar_types(spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"], round(r["ratio"], 6)) for r in got} == {("adensis", "odensis", 0.928571), ("aebudes", "tebudes", 0.928571)}
