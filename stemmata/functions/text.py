@@ -66,7 +66,7 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 def word_match(a: Column, b: Column, threshold: float) -> Column:
     """Equal, or a ratio of at least ``threshold`` that the lengths alone do not rule out."""
     total = F.length(a) + F.length(b)
-    reachable = F.abs(F.length(a) - F.length(b)) / total <= F.lit(1.0 - threshold)
+    reachable = F.try_divide(F.abs(F.length(a) - F.length(b)), total) <= F.lit(1.0 - threshold)
     return (a == b) | (reachable & (levenshtein_ratio(a, b) >= F.lit(threshold)))
 
 

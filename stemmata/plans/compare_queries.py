@@ -101,13 +101,13 @@ def similar_types(spark, folder):
 
 
 def levenshtein_ratio(spark, folder):
-    c = table(spark, folder, "canon").select("record_id", F.lower("author_name_latin").alias("a"), F.lower("author_name_english").alias("b")).where("a rlike '^[ -~]*$' and b rlike '^[ -~]*$'")
+    c = table(spark, folder, "canon").select("record_id", F.lower("author_name_latin").alias("a"), F.lower("author_name_english").alias("b"))
     return c.select("record_id", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 9).alias("ratio"), F.round(100 * X.levenshtein_ratio(F.col("a"), F.col("b")), 1).alias("fuzz"))
 
 
 def word_match(spark, folder):
-    c = table(spark, folder, "canon").select("record_id", F.lower("author_name_latin").alias("a"), F.lower("author_name_english").alias("b")).where("a rlike '^[ -~]*$' and b rlike '^[ -~]*$'")
-    return c.select("record_id", *[F.coalesce(X.word_match(F.col("a"), F.col("b"), t), F.lit(True)).alias(f"m{int(t * 100)}") for t in (0.5, 0.75, 0.8, 0.9)])
+    c = table(spark, folder, "canon").select("record_id", F.lower("author_name_latin").alias("a"), F.lower("author_name_english").alias("b"))
+    return c.select("record_id", *[X.word_match(F.col("a"), F.col("b"), t).alias(f"m{int(t * 100)}") for t in (0.5, 0.75, 0.8, 0.9)])
 
 
 def diagonal_runs(spark, folder):

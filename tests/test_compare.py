@@ -156,3 +156,13 @@ def test_similar_types_with_other_first_letters(spark, tmp_path):
     spark.createDataFrame([("Adensis Tebudes",), ("Odensis aebudes",), (None,)], "author_name_latin string").write.parquet(f"{tmp_path}/canon.parquet")
     got = compare_queries.similar_types(spark, str(tmp_path)).collect()
     assert {(r["a"], r["b"], round(r["ratio"], 6)) for r in got} == {("adensis", "odensis", 0.928571), ("aebudes", "tebudes", 0.928571)}
+
+
+def test_all_canon_names_are_compared(spark, tmp_path):
+    names = [(1, "Plato", "Plato"), (2, "Müller", "Muller"), (3, "Ἀριστοτέλης", "Aristotle"), (4, None, "Homer"), (5, "Homerus", None), (6, None, None), (7, "", "")]
+    spark.createDataFrame(names, "record_id long, author_name_latin string, author_name_english string").write.parquet(f"{tmp_path}/canon.parquet")
+    ratio = {r["record_id"]: (r["ratio"], r["fuzz"]) for r in compare_queries.levenshtein_ratio(spark, str(tmp_path)).collect()}
+    assert ratio == {1: (1.0, 100.0), 2: (0.916666667, 91.7), 3: (0.45, 45.0), 4: (None, None), 5: (None, None), 6: (None, None), 7: (1.0, 100.0)}
+    match = {r["record_id"]: tuple(r)[1:] for r in compare_queries.word_match(spark, str(tmp_path)).collect()}
+    none = (None,) * 4
+    assert match == {1: (True,) * 4, 2: (True,) * 4, 3: (False,) * 4, 4: none, 5: none, 6: none, 7: (True,) * 4}
