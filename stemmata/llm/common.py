@@ -78,26 +78,36 @@ def as_long(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+#: Rows of a class that one task pairs with others.
+CLASS_ROWS = 1000
+
+
 def class_pairs(links: DataFrame, members: DataFrame, most: int = 100) -> DataFrame:
     """Pairs (a, b) of rows from links between class representatives and class members.
 
     ``members`` holds (rep, id, size) for classes of two or more rows, the representative
-    (smallest id) included.  Classes of up to ``most`` rows come out as all pairs of rows;
-    a larger class stands in links to other classes with its representative alone, and each
-    other member is linked to the representative, so no group is ever expanded quadratically.
+    (smallest id) included; and, where the rows of a class can have different texts, (copy,
+    copies): the smallest id with the same text, and how many rows have it.  All rows of a
+    class are paired, except that of over ``most`` rows with equal texts only the one with
+    the smallest id stands in pairs with other texts, and the others are linked to it.
     """
-    few = members.where(F.col("size") <= most)
-    a = few.select(F.col("rep").alias("a"), F.col("id").alias("ma"))
-    b = few.select(F.col("rep").alias("b"), F.col("id").alias("mb"))
-    across = (
-        links.join(a, "a", "left").join(b, "b", "left")
-        .select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
-    )
+    if "copy" not in members.columns:
+        members = members.withColumn("copy", F.col("rep")).withColumn("copies", F.col("size"))
+    stand = members.where((F.col("copies") <= most) | (F.col("id") == F.col("copy"))).select("rep", "id").distinct()
+    # large classes are split into parts, so that no task pairs a whole one
+    parts = stand.groupBy("rep").agg(F.ceil(F.count("*") / CLASS_ROWS).cast("int").alias("parts"))
+    stand = stand.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    across = links.select("a", "b")
+    for end, name in (("a", "ma"), ("b", "mb")):
+        across = across.join(parts.withColumnRenamed("rep", end), end, "left").withColumn("part", every).drop("parts")
+        across = across.join(stand.select(F.col("rep").alias(end), "part", F.col("id").alias(name)), [end, "part"], "left").drop("part")
+    across = across.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
     inside = (
-        few.select("rep", F.col("id").alias("x"))
-        .join(few.select("rep", F.col("id").alias("y")), "rep")
+        stand.select("rep", "part", F.col("id").alias("x"))
+        .join(stand.select("rep", every.alias("part"), F.col("id").alias("y")), ["rep", "part"])
         .where("x < y").select("x", "y")
     )
-    star = members.where((F.col("size") > most) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    star = members.where((F.col("copies") > most) & (F.col("id") != F.col("copy"))).select(F.col("copy").alias("x"), F.col("id").alias("y"))
     both = across.unionByName(inside).unionByName(star)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -258,6 +258,22 @@ def _arrays(min_terms: int, shared):
     return run
 
 
+def _copies(members: DataFrame, src: DataFrame, most: int = 100) -> DataFrame:
+    """members with (copy, copies): the smallest id of the same text in the class, and its rows.
+
+    Only classes of over ``most`` rows need their texts; in others all rows are paired.
+    """
+    alike = members.withColumn("copy", F.col("rep")).withColumn("copies", F.col("size"))
+    large = members.where(F.col("size") > most)
+    rows = large.count()
+    if not rows:
+        return alike
+    texts = src.join(small(large.select("id").distinct(), rows), "id", "left_semi").select("id", F.sha2("text", 256).alias("sha")).distinct()
+    texts = large.join(texts, "id")
+    groups = texts.groupBy("rep", "sha").agg(F.min("id").alias("copy"), F.count("*").alias("copies"))
+    return cut(alike.where(F.col("size") <= most).unionByName(texts.join(groups, ["rep", "sha"]).select(*alike.columns)))
+
+
 class NearDuplicates:
     """Links between classes of records with the same terms, and the members of the classes."""
 
@@ -273,8 +289,8 @@ class NearDuplicates:
         self.sizes = seen.where("id is not null").select("id", "n", "m1", "m2")
         group = ["n", "m1", "m2"]
         classes = self.sizes.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-        #: (rep, id, size) of the classes of two or more records
-        self.members = cut(self.sizes.join(classes, group).select("rep", "id", "size").distinct())
+        #: (rep, id, size, copy, copies) of the classes of two or more records
+        self.members = _copies(cut(self.sizes.join(classes, group).select("rep", "id", "size").distinct()), src)
         spare = self.members.where("id <> rep").select("id").distinct()
         first = src.join(small(spare, spare.count()), "id", "left_anti")
         tiles = first.mapInArrow(_tiles(min_terms, num, den, meetings, shared), _TILE).repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
@@ -292,7 +308,7 @@ class NearDuplicates:
         self.links = met.select("a", "b", common.alias("common"), longer.alias("longer")).where(F.col("common") * den >= F.col("longer") * num)
 
     def pairs(self) -> DataFrame:
-        """(a, b), a < b, of records; classes of over 100 records in the star form of ``class_pairs``."""
+        """(a, b), a < b, of records; over 100 records of equal text in the star form of ``class_pairs``."""
         return class_pairs(self.links.select("a", "b"), self.members)
 
 
@@ -306,7 +322,7 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     nd = NearDuplicates(table(spark, folder, "sections"), "section_id", "text")
     both = nd.links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     ids = nd.sizes.select(F.col("id").alias("section_id")).distinct()
-    cls = ids.join(nd.members.select(F.col("id").alias("section_id"), "rep"), "section_id", "left").select("section_id", F.coalesce("rep", "section_id").alias("class_id"))
+    cls = ids.join(nd.members.select(F.col("id").alias("section_id"), "rep").distinct(), "section_id", "left").select("section_id", F.coalesce("rep", "section_id").alias("class_id"))
     return cls.join(both, "class_id", "left").select("section_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -185,6 +185,21 @@ def test_hot_class_is_a_star(spark):
     assert got == {(0, i) for i in range(1, 300)} | {(0, 1000)}
 
 
+@pytest.mark.parametrize("class_rows", [1000, 20])
+def test_hot_class_of_different_texts(spark, monkeypatch, class_rows):
+    monkeypatch.setattr("stemmata.llm.common.CLASS_ROWS", class_rows)
+    words = sentences(1, 60, 11)[0]
+    order = [" ".join(words[k:] + words[:k]) for k in range(3)]  # the same terms
+    rows = [(i, order[i % 2]) for i in range(120)] + [(1000 + i, order[0] + " νέον") for i in range(2)]
+    got = {(r["a"], r["b"]) for r in neardup.NearDuplicates(texts(spark, rows), "id", "text").pairs().collect()}
+    ids = [i for i, _ in rows]
+    assert got == {(a, b) for a in ids for b in ids if a < b}
+    rows = [(i, order[0]) for i in range(110)] + [(200 + i, order[1 + i % 2]) for i in range(6)] + [(1000, order[0] + " νέον")]
+    got = {(r["a"], r["b"]) for r in neardup.NearDuplicates(texts(spark, rows), "id", "text").pairs().collect()}
+    ids = [0, *range(200, 206), 1000]
+    assert got == {(0, i) for i in range(1, 110)} | {(a, b) for a in ids for b in ids if a < b}
+
+
 # -- problem 5
 
 def test_shared_spans(spark):
