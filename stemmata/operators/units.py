@@ -27,8 +27,9 @@ def windows(df: DataFrame, key: str, text: str, size: int = 140, overlap: int =
 
 
 def tokenised(df: DataFrame, key: list[str], text: Column, p: Params) -> DataFrame:
-    """(key, orig, norm): raw words and their normal forms, at most ``cap_words`` of them."""
-    orig = df.select(*key, F.slice(X.words(X.strip_milestones(text)), 1, p.cap_words).alias("orig")).where(F.col("orig").isNotNull())
+    """(key, orig, norm): raw words and their normal forms, at most ``cap_words`` of them if it is set."""
+    words = X.words(X.strip_milestones(text))
+    orig = df.select(*key, (words if p.cap_words is None else F.slice(words, 1, p.cap_words)).alias("orig")).where(F.col("orig").isNotNull())
     return orig.select(*key, "orig", X.normalize_words(F.col("orig")).alias("norm"))
 
 

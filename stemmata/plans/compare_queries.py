@@ -13,20 +13,20 @@ from .params import Params
 
 #: Windows of one document at most, in the numbering of units (document * this + window).
 PER_TEXT = 1_000_000
-#: The limit on candidates is meant for one pair of works; over the corpus all of them go on.
-CORPUS = Params(max_candidates=None)
+#: The limits on candidates and words are meant for one pair of works; over the corpus all take part.
+CORPUS = Params(max_candidates=None, cap_words=None)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def section_units(spark: SparkSession, folder: str, p: Params = Params()) -> DataFrame:
+def section_units(spark: SparkSession, folder: str, p: Params = CORPUS) -> DataFrame:
     s = spread(table(spark, folder, "sections").select(F.col("section_id").alias("unit"), "label", "text"))
     return U.tokenised(s, ["unit", "label"], F.col("text"), p)
 
 
-def document_units(spark: SparkSession, folder: str, p: Params = Params()) -> DataFrame:
+def document_units(spark: SparkSession, folder: str, p: Params = CORPUS) -> DataFrame:
     docs = spread(table(spark, folder, "documents").select("doc_id", "text")).withColumn("text", X.strip_milestones(F.col("text")))
     w = U.windows(docs, "doc_id", "text", p.window, p.overlap)
     d = w.select((F.col("doc_id") * PER_TEXT + F.col("k")).alias("unit"), F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("k").cast("string")).alias("label"), F.array_join("words", " ").alias("text"))

@@ -14,7 +14,7 @@ class Params:
     similarity_threshold: float = 0.0
     min_shared: int = 3
     max_candidates: int | None = 4000  # None: all candidates go on
-    cap_words: int = 400
+    cap_words: int | None = 400       # None: all words of a unit take part
     cap_units: int | None = None      # None: all units take part
     window: int = 140
     overlap: int = 25

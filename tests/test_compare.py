@@ -166,3 +166,12 @@ def test_all_canon_names_are_compared(spark, tmp_path):
     match = {r["record_id"]: tuple(r)[1:] for r in compare_queries.word_match(spark, str(tmp_path)).collect()}
     none = (None,) * 4
     assert match == {1: (True,) * 4, 2: (True,) * 4, 3: (False,) * 4, 4: none, 5: none, 6: none, 7: (True,) * 4}
+
+
+def test_corpus_units_keep_all_words(spark, tmp_path):
+    text = "-".join(f"w{k}" for k in range(1000))  # one word by white space
+    spark.createDataFrame([(1, "L", text)], "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame([(1, text + "-end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare_queries.vocab_size(spark, str(tmp_path)).first()["vocab_size"] == 1001
+    assert compare_queries.word_bigrams(spark, str(tmp_path)).count() == 999
+    assert compare_queries.candidate_pairs(spark, str(tmp_path)).first()["shared"] == 999
