@@ -12,12 +12,14 @@ Method: size-banded tiles with hashed bitmap signatures.
    those that are among the rarest ``n - t + m`` of both.  A record goes into one tile for
    each of these; an element the sketch has counted once needs none.  A pair is looked at
    further only if it is met in ``m`` tiles (``MEETINGS``).
-3. In a tile, records are sorted by size, so a record only meets those of its size band
-   (sizes within the similarity of each other).  The place of the element and the bit count
-   of the two 256-bit signatures bound the overlap from above; survivors are checked by an
-   exact intersection of their sorted element arrays.
+3. A tile is keyed by the element and a band of sizes (each four times as wide as the one
+   before).  A record close enough to the next band to have a partner there is a guest of
+   its tile as well; two guests meet at home only.  In a tile records are sorted by size and
+   meet only sizes within the similarity.  The place of the element and the bit count of the
+   two 256-bit signatures bound the overlap from above; survivors are checked by an exact
+   intersection of their sorted element arrays.
 4. Tiles of frequent elements are split into blocks of bounded size and every pair of
-   blocks is a tile, so no tile outgrows a task.
+   blocks is a tile, so no tile outgrows a task; pairs leave a tile as they are met.
 
 Records with the same terms form one class first and only its smallest id takes part.
 
@@ -38,8 +40,11 @@ from .common import as_long, class_pairs, cut, narrow, pieces, ratio, small, tab
 
 SKETCH_BITS = 20
 SIGNATURE_BITS, OWN_BITS = 256, 64
-BLOCK_ROWS, MOST_BLOCKS = 20_000, 4096
+BLOCK_ROWS = 20_000
+#: Pairs a task holds before it hands them on.
+HELD_PAIRS = 1_000_000
 MEETINGS = 3
+_BLOCK_BITS, _BAND_AT = 28, 56
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
@@ -104,8 +109,7 @@ class Order:
         top = np.argsort(-full, kind="stable")[:OWN_BITS]
         top = top[full[top] > 0]
         self.own[top] = np.arange(1, len(top) + 1)
-        big = max(BLOCK_ROWS, int(full.max(initial=0)) // MOST_BLOCKS + 1)
-        self.blocks = np.ceil(full / big).astype(np.int16)  # 0 or 1: one tile
+        self.blocks = np.minimum(-(-full // BLOCK_ROWS), (1 << _BLOCK_BITS) - 1).astype(np.int32)  # 0 or 1: one tile
         self.single = full <= 1
 
     def keys(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +117,12 @@ class Order:
         return (self.level[b].astype(np.uint64) << np.uint64(56)) | (e >> np.uint64(8)), b
 
 
-_TILE = "key long, tile int, blk int, id long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
+_TILE = "key long, tile long, blk int, id long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
+
+
+def size_band(n: np.ndarray) -> np.ndarray:
+    """0 for 1 to 3, 1 for 4 to 15, 2 for 16 to 63, ..."""
+    return np.searchsorted(4 ** np.arange(1, 31, dtype=np.int64), n.astype(np.int64), "right")
 
 
 def _sorted_elements(t: C.Terms, rows: int, min_terms: int, order: Order):
@@ -152,10 +161,14 @@ def _tiles(min_terms: int, num: int, den: int, meetings: int, shared):
             rep = np.repeat(np.arange(len(at)), nb)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(nb) - nb, nb)
             mine, at = mine[rep], at[rep]
-            tile = np.minimum(mine, other) * MOST_BLOCKS + np.maximum(mine, other)
             row = r[at]
+            band = size_band(n[row])
+            guest = np.flatnonzero(n[row].astype(np.int64) * den >= 4 ** (band + 1) * num)
+            tile = (np.minimum(mine, other) << _BLOCK_BITS) | np.maximum(mine, other) | (band << _BAND_AT)
+            tile = np.concatenate([tile, tile[guest] + (1 << _BAND_AT)])
+            at, row, mine = (np.concatenate([x, x[guest]]) for x in (at, row, mine))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[at].view(np.int64)), pa.array(tile.astype(np.int32)), pa.array(mine.astype(np.int32)), pa.array(doc[row]), pa.array(n[row].astype(np.int32)), pa.array(place[at].astype(np.int32))]
+                [pa.array(key[at].view(np.int64)), pa.array(tile), pa.array(mine.astype(np.int32)), pa.array(doc[row]), pa.array(n[row].astype(np.int32)), pa.array(place[at].astype(np.int32))]
                 + [pa.array(sig[row, k]) for k in range(4)],
                 names=["key", "tile", "blk", "id", "n", "pos", "s0", "s1", "s2", "s3"],
             )
@@ -164,17 +177,28 @@ def _tiles(min_terms: int, num: int, den: int, meetings: int, shared):
 
 
 def _meet(cols: list[np.ndarray], num: int, den: int, meetings: int):
-    """Pairs of one run of whole tiles, sorted by (key, tile, n), that may reach the overlap; and how often they met."""
+    """Pairs of one run of whole tiles, sorted by (key, tile, n), that may reach the overlap; and how often they met.
+
+    Yields (pairs, times met) as often as many have come together; the times of a pair add up.
+    """
     key, tile, blk, doc, n, pos, *sig = cols
     size = len(key)
     last = np.ones(size, np.bool_)
     last[:-1] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
     ends = np.flatnonzero(last)
     end = ends[np.searchsorted(ends, np.arange(size))]
-    cross = (tile // MOST_BLOCKS) != (tile % MOST_BLOCKS)
+    mask = (1 << _BLOCK_BITS) - 1
+    cross = ((tile >> _BLOCK_BITS) & mask) != (tile & mask)
+    guest = size_band(n) != (tile >> _BAND_AT)
     left = n.astype(np.int64) - pos
     i = np.flatnonzero(end > np.arange(size))
-    lag, got = 1, []
+    lag, got, held = 1, [], 0
+
+    def out():
+        pairs, met = np.unique(np.concatenate(got), axis=0, return_counts=True)
+        ok = pairs[:, 0] < pairs[:, 1]
+        return pairs[ok], met[ok]
+
     while len(i):
         j = i + lag
         i = i[(j <= end[i]) & (n[i].astype(np.int64) * den >= n[np.minimum(j, size - 1)].astype(np.int64) * num)]
@@ -182,7 +206,7 @@ def _meet(cols: list[np.ndarray], num: int, den: int, meetings: int):
             break
         j = i + lag
         need = -(-n[j].astype(np.int64) * num // den)
-        ok = np.minimum(left[i], left[j]) > need - meetings
+        ok = (np.minimum(left[i], left[j]) > need - meetings) & ~(guest[i] & guest[j])
         if cross[i].any():
             ok &= ~cross[i] | (blk[i] != blk[j])
         a, b, need = i[ok], j[ok], need[ok]
@@ -194,12 +218,13 @@ def _meet(cols: list[np.ndarray], num: int, den: int, meetings: int):
             a, b = a[ok], b[ok]
             if len(a):
                 got.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])], 1))
+                held += len(a)
+                if held >= HELD_PAIRS:
+                    yield out()
+                    got, held = [], 0
         lag += 1
-    if not got:
-        return None
-    pairs, met = np.unique(np.concatenate(got), axis=0, return_counts=True)
-    ok = pairs[:, 0] < pairs[:, 1]
-    return pairs[ok], met[ok]
+    if got:
+        yield out()
 
 
 def _matcher(num: int, den: int, meetings: int):
@@ -208,11 +233,9 @@ def _matcher(num: int, den: int, meetings: int):
         rows = 0
 
         def flush(cols):
-            got = _meet(cols, num, den, meetings)
-            if got is not None and len(got[1]):
-                p, met = got
-                return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(met.astype(np.int64))], names=["a", "b", "met"])
-            return None
+            for p, met in _meet(cols, num, den, meetings):
+                if len(met):
+                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(met.astype(np.int64))], names=["a", "b", "met"])
 
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -229,14 +252,10 @@ def _matcher(num: int, den: int, meetings: int):
                 held = [whole]
                 continue
             stop = int(ends[-1]) + 1
-            out = flush([x[:stop] for x in whole])
             held, rows = [[x[stop:] for x in whole]], len(whole[0]) - stop
-            if out is not None:
-                yield out
+            yield from flush([x[:stop] for x in whole])
         if held:
-            out = flush([np.concatenate(x) for x in zip(*held)])
-            if out is not None:
-                yield out
+            yield from flush([np.concatenate(x) for x in zip(*held)])
 
     return run
 
@@ -258,6 +277,26 @@ def _arrays(min_terms: int, shared):
     return run
 
 
+def _overlap(num: int, den: int):
+    """Rows (a, b, x, y) with sorted element arrays to (a, b, common, longer) of those that reach the similarity."""
+
+    def run(batches):
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            sizes = [np.diff(c.offsets.to_numpy()) for c in (x, y)]
+            pair = np.concatenate([np.repeat(np.arange(len(k)), k) for k in sizes])
+            element = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (x, y)])
+            order = np.lexsort((element, pair))  # merges the two sorted arrays of each pair
+            pair, element = pair[order], element[order]
+            twice = (pair[1:] == pair[:-1]) & (element[1:] == element[:-1])
+            common = np.bincount(pair[1:][twice], minlength=b.num_rows).astype(np.int64)
+            longer = np.maximum(*sizes).astype(np.int64)
+            ok = pa.array(common * den >= longer * num)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(common).filter(ok), pa.array(longer).filter(ok)], names=["a", "b", "common", "longer"])
+
+    return run
+
+
 def _copies(members: DataFrame, src: DataFrame, most: int = 100) -> DataFrame:
     """members with (copy, copies): the smallest id of the same text in the class, and its rows.
 
@@ -298,14 +337,13 @@ class NearDuplicates:
         #: (a, b): pairs that passed the bounds in enough tiles
         self.candidates = maybe = cut(maybe.where(F.col("met") >= meetings).select("a", "b"))
         ends = maybe.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
-        full = src.mapInArrow(_arrays(min_terms, shared), "id long, elements array<long>")
-        full = full.join(small(ends.select("id").distinct(), maybe.count() * 2), "id", "left_semi")
-        # both arrays of a pair meet in one group of two rows; n is the longer size
+        # only texts of candidates are cut into elements again
+        some = src.join(small(ends.select("id").distinct(), maybe.count() * 2), "id", "left_semi").select("id", "text")
+        full = some.mapInArrow(_arrays(min_terms, shared), "id long, elements array<long>")
+        # both arrays of a pair meet in one group of two rows
         met = ends.join(full, "id").groupBy("a", "b").agg(F.max_by("elements", "id").alias("x"), F.min_by("elements", "id").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        longer = F.greatest(F.size("x"), F.size("y"))
-        #: (a, b, common, longer): links between representatives of different classes
-        self.links = met.select("a", "b", common.alias("common"), longer.alias("longer")).where(F.col("common") * den >= F.col("longer") * num)
+        #: (a, b, common, longer): links between representatives of different classes; longer is the larger size
+        self.links = met.mapInArrow(_overlap(num, den), "a long, b long, common long, longer long")
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b, of records; over 100 records of equal text in the star form of ``class_pairs``."""
