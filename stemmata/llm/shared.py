@@ -3,9 +3,11 @@
 Method: seed and extend.  Rolling hashes of ``k`` code points are winnowed over windows of
 ``w`` hashes with ``k + w - 1 = min_length``, so two records that share a stretch of at
 least ``min_length`` code points share an anchor inside it (about 2/(w+1) anchors per code
-point).  Records are joined on anchors; each pair and diagonal (difference of positions) is
-then extended both ways on the texts as stored, and its maximal runs of at least
-``min_length`` are kept, so hash collisions never show.
+point).  Records are joined on anchors; every anchor two records share is a seed, which is
+extended both ways on the texts as stored, from where it stands to the first difference, and
+the maximal repeats of at least ``min_length`` are kept, so hash collisions never show.
+Anchors of very many records are split into blocks, and every pair of blocks is a task's
+group of its own; pairs leave a group as they are met.
 
 Records with equal texts form one class first and only its smallest id takes part.
 
@@ -49,9 +51,14 @@ def _slide(x: np.ndarray, w: int, pick, fill) -> np.ndarray:
     return out
 
 
+def anchor_size(min_length: int) -> int:
+    """Code points of an anchor."""
+    return max(1, min_length * 3 // 7)
+
+
 def anchors(cp: np.ndarray, off: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Winnowed anchors of a batch: row, position in the row, 64-bit hash of k code points."""
-    k = max(1, min_length * 3 // 7)
+    k = anchor_size(min_length)
     w = min_length - k + 1
     size = np.diff(off)
     keep = size >= min_length
@@ -89,82 +96,113 @@ def _seeds(min_length: int):
     return run
 
 
-def _meet(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+#: Anchors of more places than this are split; pairs a task holds before it hands them on.
+BLOCK_ROWS, HELD_PAIRS = 10_000, 500_000
+_BLOCK_BITS = 31
+
+
+def _meet(seed: np.ndarray, tile: np.ndarray, blk: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+    """Seeds (a, b, place in a, place in b) of whole groups, sorted by (seed, tile); yields bounded parts."""
     size = len(seed)
     last = np.ones(size, np.bool_)
-    last[:-1] = seed[1:] != seed[:-1]
+    last[:-1] = (seed[1:] != seed[:-1]) | (tile[1:] != tile[:-1])
     ends = np.flatnonzero(last)
     end = ends[np.searchsorted(ends, np.arange(size))]
-    i, lag, got = np.flatnonzero(end > np.arange(size)), 1, []
+    cross = (tile >> _BLOCK_BITS) != (tile & ((1 << _BLOCK_BITS) - 1))
+    i, lag, got, held = np.flatnonzero(end > np.arange(size)), 1, [], 0
     while len(i):
         i = i[i + lag <= end[i]]
         j = i + lag
-        ok = doc[i] != doc[j]
+        ok = (doc[i] != doc[j]) & (~cross[i] | (blk[i] != blk[j]))
         a, b = i[ok], j[ok]
         if len(a):
             swap = doc[a] > doc[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            got.append(np.stack([doc[a], doc[b], pos[b].astype(np.int64) - pos[a]], 1))
+            got.append(np.stack([doc[a], doc[b], pos[a].astype(np.int64), pos[b].astype(np.int64)], 1))
+            held += len(a)
+            if held >= HELD_PAIRS:
+                yield np.concatenate(got)
+                got, held = [], 0
         lag += 1
-    return np.unique(np.concatenate(got), axis=0) if got else None
+    if got:
+        yield np.concatenate(got)
 
 
-def _matcher(batches):
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    names = ["a", "b", "shift"]
+def _matcher(k: int):
+    """Seeds (a, b, shift, part, place in a), one per pair, diagonal and stretch of k code points."""
 
-    def out(p):
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2].astype(np.int32))], names=names)
+    def out(cols):
+        for p in _meet(*cols):
+            p[:, 3] -= p[:, 2]
+            keys = np.stack([p[:, 0], p[:, 1], p[:, 3], p[:, 2] // k], 1)
+            keys, first = np.unique(keys, axis=0, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])] + [pa.array(c.astype(np.int32)) for c in (keys[:, 2], keys[:, 3], p[first, 2])], names=["a", "b", "shift", "part", "pa"])
 
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if not len(cols[0]):
-            continue
-        held.append(cols)
-        rows += len(cols[0])
-        if rows < 100_000:
-            continue
-        whole = [np.concatenate(x) for x in zip(*held)]
-        ends = np.flatnonzero(whole[0][1:] != whole[0][:-1])
-        if not len(ends):
-            held, rows = [whole], rows // 2  # one long group: wait for more before looking again
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(cols[0]):
+                continue
+            held.append(cols)
+            rows += len(cols[0])
+            if rows < 100_000:
+                continue
+            whole = [np.concatenate(x) for x in zip(*held)]
+            ends = np.flatnonzero((whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1]))
+            if not len(ends):
+                held, rows = [whole], rows // 2  # one group: wait for more before looking again
+                continue
+            stop = int(ends[-1]) + 1
+            held, rows = [[x[stop:] for x in whole]], len(whole[0]) - stop
+            yield from out([x[:stop] for x in whole])
+        if held:
+            yield from out([np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
+def _reach(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common start of two arrays, looked at in growing pieces."""
+    n, at, step = min(len(x), len(y)), 0, 256
+    while at < n:
+        stop = min(n, at + step)
+        differ = np.flatnonzero(x[at:stop] != y[at:stop])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = stop, step * 4
+    return n
+
+
+def extend(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(start in x, start in y, length) of the maximal repeats that seeds (place in x, place in y) stand in.
+
+    A seed inside a repeat already found on its diagonal is not extended again.
+    """
+    out, done = [], {}
+    for p, q in sorted(seeds):
+        if p < done.get(q - p, 0):
             continue
-        stop = int(ends[-1]) + 1
-        held, rows = [[x[stop:] for x in whole]], len(whole[0]) - stop
-        p = _meet(*[x[:stop] for x in whole])
-        if p is not None:
-            yield out(p)
-    if held:
-        p = _meet(*[np.concatenate(x) for x in zip(*held)])
-        if p is not None:
-            yield out(p)
-
-
-def _runs(x: np.ndarray, y: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
-    """Maximal runs [from, to) in x with x[i] == y[i + shift], of at least that length."""
-    lo, hi = max(0, -shift), min(len(x), len(y) - shift)
-    if hi - lo < least:
-        return []
-    edge = np.flatnonzero(x[lo:hi] != y[lo + shift : hi + shift])
-    stops = np.concatenate([[-1], edge, [hi - lo]])
-    gap = np.diff(stops) - 1
-    return [(lo + int(stops[i]) + 1, lo + int(stops[i + 1])) for i in np.flatnonzero(gap >= least)]
+        ahead = _reach(x[p:], y[q:])
+        back = _reach(x[:p][::-1], y[:q][::-1])
+        done[q - p] = p + max(1, ahead)
+        if ahead + back >= least:
+            out.append((p - back, q - back, ahead + back))
+    return out
 
 
 def _extend(least: int):
-    """Rows (a, b, shifts, x, y) to maximal repeats (a, b, start_a, start_b, length)."""
+    """Rows (a, b, seeds as two lists, x, y) to maximal repeats (a, b, start_a, start_b, length)."""
 
     def run(batches):
         for b in batches:
-            x, xo = C.decode(b.column(3))
-            y, yo = C.decode(b.column(4))
-            da, db, shifts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            x, xo = C.decode(b.column(4))
+            y, yo = C.decode(b.column(5))
+            da, db, pas, pbs = (b.column(k).to_pylist() for k in range(4))
             rows = []
             for i in range(len(da)):
-                xs, ys = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
-                for s in shifts[i]:
-                    rows += [(da[i], db[i], f, f + s, t - f) for f, t in _runs(xs, ys, s, least)]
+                rows += [(da[i], db[i], *r) for r in extend(x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]], list(zip(pas[i], pbs[i])), least)]
             if rows:
                 r = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(r[:, k]) for k in range(5)], names=["a", "b", "start_a", "start_b", "length"])
@@ -172,6 +210,21 @@ def _extend(least: int):
     return run
 
 
+def _in_blocks(seeds: DataFrame) -> DataFrame:
+    """(seed, tile, blk, id, pos): places of hot anchors once in every pair of blocks their own stands in."""
+    hot = seeds.groupBy("seed").agg(F.count("*").alias("places")).where(F.col("places") > BLOCK_ROWS)
+    hot = cut(hot.select("seed", F.ceil(F.col("places") / BLOCK_ROWS).cast("int").alias("blocks")))
+    rows = hot.count()
+    zero = F.lit(0).cast("long")
+    if not rows:
+        return seeds.select("seed", zero.alias("tile"), F.lit(0).alias("blk"), "id", "pos")
+    both = seeds.join(small(hot, rows), "seed", "left").withColumn("blk", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    both = both.withColumn("other", other)
+    tile = F.shiftleft(F.least("blk", "other").cast("long"), _BLOCK_BITS).bitwiseOR(F.greatest("blk", "other").cast("long"))
+    return both.select("seed", tile.alias("tile"), "blk", "id", "pos")
+
+
 class SharedSpans:
     """Maximal repeats between records of different texts, and the classes of equal texts."""
 
@@ -184,16 +237,20 @@ class SharedSpans:
         self.members = cut(self.sizes.join(classes, "same").select("rep", "id", "size", "chars").distinct())
         spare = self.members.where("id <> rep").select("id")
         first = src.join(small(spare, spare.count()), "id", "left_anti")
-        seeds = first.mapInArrow(_seeds(min_length), "seed long, id long, pos int").repartition("seed").sortWithinPartitions("seed", "id")
-        met = cut(seeds.mapInArrow(_matcher, "a long, b long, shift int").groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
-        ends = met.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "shifts")
+        seeds = cut(first.mapInArrow(_seeds(min_length), "seed long, id long, pos int"))
+        seeds = _in_blocks(seeds).repartition("seed", "tile").sortWithinPartitions("seed", "tile", "id")
+        met = seeds.mapInArrow(_matcher(anchor_size(min_length)), "a long, b long, shift int, part int, pa int")
+        # anchors of a diagonal less than their own length apart overlap, so they stand in one repeat
+        met = met.groupBy("a", "b", "shift", "part").agg(F.min("pa").alias("pa"))
+        met = cut(met.groupBy("a", "b").agg(F.collect_list("pa").alias("pas"), F.collect_list(F.col("pa") + F.col("shift")).alias("pbs")))
+        ends = met.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "pas", "pbs")
         need = ends.select("id").distinct()
         texts = src.join(small(need, met.count() * 2), "id", "left_semi")
         pairs = ends.join(texts, "id").groupBy("a", "b").agg(
-            F.first("shifts").alias("shifts"), F.min_by("text", "id").alias("x"), F.max_by("text", "id").alias("y")
+            F.first("pas").alias("pas"), F.first("pbs").alias("pbs"), F.min_by("text", "id").alias("x"), F.max_by("text", "id").alias("y")
         )
         #: (a, b, start_a, start_b, length): maximal repeats between class representatives
-        self.repeats = pairs.select("a", "b", "shifts", "x", "y").mapInArrow(
+        self.repeats = pairs.select("a", "b", "pas", "pbs", "x", "y").mapInArrow(
             _extend(min_length), "a long, b long, start_a long, start_b long, length long"
         )
 

@@ -325,3 +325,47 @@ def test_survivors_in_sql(spark, data):
         assert sorted(d[0] for d in cur.description) == sorted(df.columns)
         order = [[d[0] for d in cur.description].index(x) for x in df.columns]
         assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in order) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("block_rows", [10_000, 7])
+def test_boilerplate_anchor(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(shared, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(shared, "HELD_PAIRS", 50)
+    r = random.Random(8)
+    notice = "".join(r.choice("αβγδε ζ") for _ in range(180))
+    rows = [(i, f"{i:05d}" * r.randint(0, 9) + notice + "".join(r.choice("λμν ") for _ in range(40))) for i in range(60)] + [(100, notice[:149] + "!"), (101, "x" * 400)]
+    got = [(x["a"], x["b"]) for x in shared.SharedSpans(texts(spark, rows), "id", "text").pairs().collect()]
+    assert set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60)} and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("at", [0, 3, 5])
+def test_extension_from_a_seed(at):
+    x, y = (np.array([ord(c) for c in t], np.uint32) for t in ("zzabcdefgzz", "qabcdefgq"))
+    assert shared.extend(x, y, [(2 + at, 1 + at), (2 + at, 1 + at)], 7) == [(2, 1, 7)]
+    assert shared.extend(x, y, [(2 + at, 1 + at)], 8) == []
+
+
+def test_many_pairs_of_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HELD_PAIRS", 20)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 10)
+    words = sentences(1, 60, 21)[0]
+    rows = [(i, " ".join(words[: len(words) - i % 5] + [WORDS[i % 7]])) for i in range(50)]
+    assert {(r["a"], r["b"]) for r in neardup.NearDuplicates(texts(spark, rows), "id", "text").pairs().collect()} == near_pairs(rows)
+
+
+def test_near_duplicates_across_size_bands(spark):
+    words = [f"λ{'αβγδε'[i % 5]}{'ικλμ'[i // 5 % 4]}{'νξοπρ'[i // 20 % 5]}{'στυ'[i // 100]}" for i in range(300)]
+    rows = [(n, " ".join(words[:n])) for n in (*range(44, 92, 3), 63, 64, 65, 182, 200, 255, 256, 258)]
+    got = {(r["a"], r["b"]) for r in neardup.NearDuplicates(texts(spark, rows), "id", "text").pairs().collect()}
+    assert got == near_pairs(rows) and (63, 64) in got and (200, 256) in got
+
+
+def test_short_run_before_a_long_one(spark):
+    r = random.Random(5)
+    noise = lambda n, s: "".join(r.choice(s) for _ in range(n))
+    rows = []
+    for k in range(40):
+        x, y = noise(r.randint(64, 120), "αβγδε "), noise(150, "αβγδε ")
+        rows += [(2 * k, noise(r.randint(0, 70), "λμν") + x + "!" + y + "?"), (2 * k + 1, noise(r.randint(0, 70), "ρστ") + x + ";" + y + ".")]
+    got = {(x["a"], x["b"]) for x in shared.SharedSpans(texts(spark, rows), "id", "text").pairs().collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(40)}
