@@ -1,9 +1,11 @@
 """Problems 3 and 6: frequency of every term, and how distinctive a term is per record.
 
 Frequencies (problem 3) are a heavy-light aggregation: the heaviest terms of a bounded
-sample are broadcast; every task counts them exactly in local arrays and sends them once,
-while all other terms are pre-aggregated per batch and shuffled.  The sample only decides
-which route a term takes: all counts cover all rows.
+sample are broadcast; every task counts them exactly in local arrays and sends the arrays
+once, summed by place in the list, while only the remaining terms are pre-aggregated per
+batch and shuffled; the two count tables are then united.  The sample only decides which
+route a term takes: all counts cover all rows.  Texts are cut into terms once: the partial
+counts, and the terms of records where weights need them, are written together.
 
 Weights (problem 6) are residual inverse document frequencies: the observed value
 ``-log2(df/N)`` minus the value expected of a Poisson spread with the same collection
@@ -25,7 +27,9 @@ from .common import cut, narrow, pieces, table
 #: Bounds of the heavy list: terms, and rows of the sample they are taken from.
 HEAVY_TERMS, SAMPLE_ROWS = 4096, 20_000
 
-_COUNTS = "term string, occurrences long, records long, heavy boolean"
+#: What one pass over the texts gives: partial counts of light terms, of heavy terms, and terms of records.
+LIGHT, HEAVY, POST = 0, 1, 2
+_PARTS = "kind int, term string, place int, id long, occurrences long, records long"
 
 
 def _light_counts(terms: C.Terms, first: np.ndarray, count: np.ndarray):
@@ -37,35 +41,43 @@ def _light_counts(terms: C.Terms, first: np.ndarray, count: np.ndarray):
     return first[at], np.add.reduceat(count, at), np.diff(np.append(at, len(h)))
 
 
-def _counts_batch(text: pa.Array, occ, rec, heavy: bool) -> pa.RecordBatch:
-    n = len(text)
-    return pa.RecordBatch.from_arrays(
-        [text, pa.array(occ, pa.int64()), pa.array(rec, pa.int64()), pa.array(np.full(n, heavy))],
-        names=["term", "occurrences", "records", "heavy"],
-    )
+def _part(kind: int, n: int, term=None, place=None, ids=None, occ=None, rec=None) -> pa.RecordBatch:
+    cols = [(term, pa.string()), (place, pa.int32()), (ids, pa.int64()), (occ, pa.int64()), (rec, pa.int64())]
+    arrays = [pa.array(np.full(n, kind, np.int32))] + [pa.nulls(n, t) if c is None else c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in cols]
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "term", "place", "id", "occurrences", "records"])
 
 
-def _counter(heavy_hash: np.ndarray, heavy_text: list[str]):
+def _counter(heavy_hash: np.ndarray, min_tf: int | None = None):
+    """One pass: partial counts, and terms of records with at least ``min_tf`` occurrences if it is given."""
+
     def run(batches):
         occ, rec = np.zeros(len(heavy_hash), np.int64), np.zeros(len(heavy_hash), np.int64)
-        for _, _, cp, off in pieces(batches):
+        for ids, _, cp, off in pieces(batches):
             t = C.Terms(cp, off)
             if not len(t.hash):
                 continue
-            first, _, count = C.count_by_row(t)
+            first, row, count = C.count_by_row(t)
+            place = np.full(len(first), -1, np.int64)
             if len(heavy_hash):
-                place = np.searchsorted(heavy_hash, t.hash[first])
-                place[place == len(heavy_hash)] = 0
-                is_heavy = heavy_hash[place] == t.hash[first]
-                occ += np.bincount(place[is_heavy], count[is_heavy], len(heavy_hash)).astype(np.int64)
-                rec += np.bincount(place[is_heavy], minlength=len(heavy_hash))
-                first, count = first[~is_heavy], count[~is_heavy]
-            if len(first):
-                at, o, r = _light_counts(t, first, count)
-                yield _counts_batch(t.text(at), o, r, False)
+                at = np.searchsorted(heavy_hash, t.hash[first])
+                at[at == len(heavy_hash)] = 0
+                is_heavy = heavy_hash[at] == t.hash[first]
+                place[is_heavy] = at[is_heavy]
+                occ += np.bincount(at[is_heavy], count[is_heavy], len(heavy_hash)).astype(np.int64)
+                rec += np.bincount(at[is_heavy], minlength=len(heavy_hash))
+            light = place < 0
+            if light.any():
+                at, o, r = _light_counts(t, first[light], count[light])
+                yield _part(LIGHT, len(at), term=t.text(at), occ=o, rec=r)
+            if min_tf is not None:
+                for kind in (True, False):
+                    at = np.flatnonzero((count >= min_tf) & (light == kind))
+                    if len(at):
+                        who = {"term": t.text(first[at])} if kind else {"place": place[at]}
+                        yield _part(POST, len(at), ids=ids.take(pa.array(row[at])), occ=count[at], **who)
         met = np.flatnonzero(rec)
         if len(met):
-            yield _counts_batch(pa.array([heavy_text[i] for i in met.tolist()], pa.string()), occ[met], rec[met], True)
+            yield _part(HEAVY, len(met), place=met, occ=occ[met], rec=rec[met])
 
     return run
 
@@ -81,7 +93,7 @@ def heavy_terms(src: DataFrame, rows: int, most: int = HEAVY_TERMS, sample_rows:
     """At most ``most`` frequent terms, by a sample of about ``sample_rows`` rows chosen by id."""
     step = max(1, rows // sample_rows)
     few = src.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0) if step > 1 else src
-    counts = few.mapInArrow(_counter(np.zeros(0, np.uint64), []), _COUNTS).groupBy("term").agg(F.sum("records").alias("n"))
+    counts = few.mapInArrow(_counter(np.zeros(0, np.uint64)), _PARTS).groupBy("term").agg(F.sum("records").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "term").limit(most).collect()
     return [r.term for r in top]
 
@@ -98,10 +110,25 @@ class TermStatistics:
         self.heavy_hash = hashes[order]
         self.heavy_text = [words[i] for i in order.tolist()]
 
+    def parts(self, min_tf: int | None = None) -> DataFrame:
+        """The result of one pass over all texts, kept in the shared folder."""
+        return cut(self.source.where("text is not null").mapInArrow(_counter(self.heavy_hash, min_tf), _PARTS))
+
+    def heavy_counts(self, parts: DataFrame) -> DataFrame:
+        """(place, term, occurrences, records) of the heavy terms: at most ``HEAVY_TERMS`` rows."""
+        listed = parts.sparkSession.createDataFrame(list(enumerate(self.heavy_text)), "place int, term string")
+        total = parts.where(F.col("kind") == HEAVY).groupBy("place").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        return total.join(F.broadcast(listed), "place").select("place", "term", "occurrences", "records")
+
+    def light_counts(self, parts: DataFrame) -> DataFrame:
+        """(term, occurrences, records) of all other terms."""
+        return parts.where(F.col("kind") == LIGHT).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
     def counts(self) -> DataFrame:
-        """(term, occurrences, records, heavy): one row per distinct term."""
-        part = self.source.where("text is not null").mapInArrow(_counter(self.heavy_hash, self.heavy_text), _COUNTS)
-        return part.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), F.max("heavy").alias("heavy"))
+        """(term, occurrences, records, heavy): one row per distinct term, both tables united."""
+        parts = self.parts()
+        heavy = self.heavy_counts(parts).drop("place").withColumn("heavy", F.lit(True))
+        return heavy.unionByName(self.light_counts(parts).withColumn("heavy", F.lit(False)))
 
 
 def marked_terms(df: DataFrame, id_col: str, text_col: str, rare: int = 1, common: float = 0.2) -> DataFrame:
@@ -111,34 +138,6 @@ def marked_terms(df: DataFrame, id_col: str, text_col: str, rare: int = 1, commo
     return s.counts().select("term", "occurrences", "records", mark.alias("mark"))
 
 
-def _poster(heavy_hash: np.ndarray, min_tf: int, want_heavy: bool):
-    def run(batches):
-        for ids, _, cp, off in pieces(batches):
-            t = C.Terms(cp, off)
-            if not len(t.hash):
-                continue
-            first, row, count = C.count_by_row(t)
-            keep = count >= min_tf
-            place = np.zeros(len(first), np.int64)
-            if len(heavy_hash):
-                place = np.searchsorted(heavy_hash, t.hash[first])
-                place[place == len(heavy_hash)] = 0
-                keep &= (heavy_hash[place] == t.hash[first]) == want_heavy
-            elif want_heavy:
-                continue
-            at = np.flatnonzero(keep)
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[at])), t.text(first[at]), pa.array(count[at], pa.int64()), pa.array(place[at], pa.int32())],
-                    names=["id", "term", "tf", "place"],
-                )
-
-    return run
-
-
-_POSTS = "id long, term string, tf long, place int"
-
-
 def _ridf(rows: int, cf, df):
     n = F.lit(float(rows))
     return -F.log2(df / n) + F.log2(-F.expm1(-cf / n))
@@ -150,22 +149,18 @@ def term_weights(df: DataFrame, id_col: str, text_col: str, min_tf: int = 1, max
     Heavy terms (a bounded list) meet their statistics in a broadcast table of at most
     ``HEAVY_TERMS`` rows, so the hottest keys are never shuffled; the others are joined
     by term.  ``min_tf`` and ``max_df`` restrict the rows that come out, not the statistics.
+    Records without an id count in the statistics and have no rows.
     """
     s = TermStatistics(df, id_col, text_col)
-    spark = df.sparkSession
-    stats = cut(s.counts().select("term", F.col("records").alias("df"), F.col("occurrences").alias("cf"), "heavy"))
-    src = s.source.where("text is not null and id is not null")
-    light_stats = stats.where("not heavy")
-    heavy = {r.term: (r.df, r.cf) for r in stats.where("heavy").collect()}  # at most HEAVY_TERMS rows
+    parts = s.parts(min_tf)
+    post = parts.where((F.col("kind") == POST) & F.col("id").isNotNull()).select("id", "term", "place", F.col("occurrences").alias("tf"))
+    light = s.light_counts(parts).select("term", F.col("records").alias("df"), F.col("occurrences").alias("cf"))
+    heavy = s.heavy_counts(parts).select("place", "term", F.col("records").alias("df"), F.col("occurrences").alias("cf"))
     if max_df is not None:
-        light_stats = light_stats.where(F.col("df") <= max_df)
-        heavy = {k: v for k, v in heavy.items() if v[0] <= max_df}
-    light = src.mapInArrow(_poster(s.heavy_hash, min_tf, False), _POSTS).join(light_stats, "term").select("id", "term", "tf", "df", "cf")
-    out = light
-    if heavy:
-        side = spark.createDataFrame([(i, *heavy[w]) for i, w in enumerate(s.heavy_text) if w in heavy], "place int, df long, cf long")
-        posts = src.mapInArrow(_poster(s.heavy_hash, min_tf, True), _POSTS)
-        out = posts.join(F.broadcast(side), "place").select("id", "term", "tf", "df", "cf").unionByName(light)
+        light, heavy = light.where(F.col("df") <= max_df), heavy.where(F.col("df") <= max_df)
+    cols = ("id", "term", "tf", "df", "cf")
+    out = post.where("place is null").drop("place").join(light, "term").select(*cols)
+    out = out.unionByName(post.where("place is not null").drop("term").join(F.broadcast(heavy), "place").select(*cols))
     return out.withColumn("weight", F.col("tf") * _ridf(max(1, s.rows), F.col("cf"), F.col("df")))
 
 
@@ -178,8 +173,13 @@ def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms that mark a section, from the weighted table: three occurrences in it, four sections at most.
+
+    Such a term has a positive weight in any collection of more than a few rows; the exact
+    rule follows the weights, so that none is lost in a tiny one.
+    """
     w = term_weights(table(spark, folder, "sections"), "section_id", "text", min_tf=3, max_df=4)
-    return w.select(F.col("id").alias("section_id"), "term")
+    return w.where("weight is not null and tf >= 3 and df <= 4").select(F.col("id").alias("section_id"), "term")
 
 
 def p6_weights(spark: SparkSession, folder: str) -> DataFrame:
