@@ -1,20 +1,28 @@
 """Problem 9: per-document text quality statistics, and the documents that are not natural text.
 
 Method: vectorised length, symbol, punctuation, bullet and common-word statistics over the
-code points of whole batches, then fixed thresholds in the manner of the published quality
-rules for web corpora (symbol share, bullet lines, repeated lines, stop words), with one
-recorded reason per rule that failed.  The usual minimum of words is left out, as single
-short sentences are natural text here.
+code points of whole batches, then fixed thresholds with one recorded reason per rule that
+failed.
+
+* ``PUBLISHED``: the quality and repetition rules of Rae et al. 2021 ("Scaling Language Models:
+  Methods, Analysis & Insights from Training Gopher", appendix A) with their thresholds: mean
+  word length, the signs # and … per word, bullet lines, lines ending in an ellipsis, words
+  without a letter, stop words, duplicate lines and the characters in them.  Their least number
+  of words drops no text here, as single short sentences are natural text; the rules on word
+  length and stop words, which need that many words to mean anything, start there.
+* ``DOMAIN``: rules of this library for what the published ones let pass in these languages:
+  lists and tables in lines or cells, texts of few letters, letters in impossible order, words
+  strung together by commas.  Their thresholds were chosen on the test tables.
 
 Defined cases: null, empty and invisible texts have zero statistics and no reason; rows
-without id keep a null id; the thresholds are the parameters of ``RULES``.
+without id keep a null id; ``domain=None`` leaves the published rules alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codepoints as C
@@ -26,13 +34,24 @@ BARS = "|»¦"
 STOPS = ".;·!?,:…"
 BREAKS = (0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029)
 
-RULES = {
+# Published thresholds.
+PUBLISHED = {
+    "least_words": 50,
+    "mean_word_length": (3.0, 10.0),
+    "signs": 0.1,           # most signs # and … per word
+    "bullets": 0.9,         # most share of lines that start with a bullet
+    "ellipses": 0.3,        # most share of lines that end in an ellipsis
+    "lettered": 0.8,        # least share of words with a letter
+    "stop_words": 2,        # least number of stop words
+    "repeated_lines": 0.3,  # most share of lines that repeat an earlier one
+    "repeated_chars": 0.2,  # most share of characters in such lines
+}
+
+DOMAIN = {
     "letters": 0.82,        # least share of letters and marks among visible characters
     "listed": 0.5,          # most share of visible characters that stand in list or table lines
     "common": 0.04,         # least share of common words, in texts of at least ``common_words``
     "common_words": 20,
-    "repeated": 0.5,        # most share of lines that repeat an earlier line, of at least ``lines``
-    "lines": 5,
     "odd": 0.03,            # most share of words with impossible letter order, of at least ``odd_words``
     "odd_words": 6,
     "commas": 0.6,          # most commas per word where few words are common, of at least ``comma_words``
@@ -45,6 +64,7 @@ _STATS = [
     ("mean_word_length", pa.float64()), ("letter_share", pa.float64()), ("digit_share", pa.float64()), ("symbol_share", pa.float64()),
     ("ended_share", pa.float64()), ("bullet_share", pa.float64()), ("listed_share", pa.float64()), ("common_share", pa.float64()),
     ("repeated_share", pa.float64()), ("odd_share", pa.float64()), ("comma_share", pa.float64()),
+    ("lettered_share", pa.float64()), ("sign_ratio", pa.float64()), ("ellipsis_share", pa.float64()), ("repeated_chars", pa.float64()), ("common_words", pa.int64()),
 ]
 _DDL = ", ".join(f"{n} {'long' if t == pa.int64() else 'double'}" for n, t in _STATS)
 
@@ -165,13 +185,14 @@ def statistics(cp: np.ndarray, off: np.ndarray, common: np.ndarray) -> dict[str,
 
     n_lines = rows_of(some.astype(float))
     # repeated lines
-    repeated = np.zeros(rows)
+    repeated, repeated_ink = np.zeros(rows), np.zeros(rows)
     if some.any():
         r, h = line_row[some], line_hash[some]
         o = np.lexsort((h, r))
         same = np.zeros(len(o), np.bool_)
         same[1:] = (h[o][1:] == h[o][:-1]) & (r[o][1:] == r[o][:-1])
         repeated = np.bincount(r[o], same, rows)
+        repeated_ink = np.bincount(r[o], same * line_ink[some][o], rows)
     tail_stop = np.zeros(lines, np.bool_)
     if n:
         tail_stop = some & _member(cp[np.minimum(tail, n - 1)], ".;·!?")
@@ -200,6 +221,18 @@ def statistics(cp: np.ndarray, off: np.ndarray, common: np.ndarray) -> dict[str,
     mark_only = by_row(odd)
     div = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
     digits = by_row(digit)
+    # white-space tokens with a letter, the signs # and … per token, lines that end in an ellipsis
+    tokens, lettered = np.zeros(rows), np.zeros(rows)
+    if len(tok_a):
+        upto = np.zeros(n + 1, np.int64)
+        np.cumsum(letter, out=upto[1:])
+        tok_row = line_row[tok_line]
+        tokens = np.bincount(tok_row, minlength=rows)
+        lettered = np.bincount(tok_row, upto[tok_b] > upto[tok_a], rows)
+    three = np.zeros(n, np.bool_)
+    if n > 2:
+        three[2:] = (cp[2:] == 0x2E) & (cp[1:-1] == 0x2E) & (cp[:-2] == 0x2E)
+    trailing = some & ((cp[np.minimum(tail, n - 1)] == 0x2026) | three[np.minimum(tail, n - 1)]) if n else np.zeros(lines, np.bool_)
     return {
         "n_chars": n_chars, "visible": visible, "words": words, "lines": n_lines.astype(np.int64),
         "mean_word_length": div(np.bincount(terms.row, terms.size, rows), words),
@@ -207,6 +240,8 @@ def statistics(cp: np.ndarray, off: np.ndarray, common: np.ndarray) -> dict[str,
         "ended_share": div(rows_of(tail_stop.astype(float)), n_lines), "bullet_share": div(rows_of((bullet & some).astype(float)), n_lines),
         "listed_share": div(rows_of((line_ink * is_list).astype(float)), visible), "common_share": div(commons, words),
         "repeated_share": div(repeated, n_lines), "odd_share": div(mark_only, words), "comma_share": div(by_row(cp == ord(",")), words),
+        "lettered_share": div(lettered, tokens), "sign_ratio": div(by_row((cp == 0x23) | (cp == 0x2026)), tokens),
+        "ellipsis_share": div(rows_of(trailing.astype(float)), n_lines), "repeated_chars": div(repeated_ink, visible), "common_words": commons.astype(np.int64),
     }
 
 
@@ -219,22 +254,40 @@ def _run(common: np.ndarray):
     return run
 
 
-def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: list[str], rules: dict = RULES) -> DataFrame:
+def _published(r: dict) -> dict[str, Column]:
+    """Reason to condition of failing it."""
+    enough = F.col("words") >= F.lit(r["least_words"])
+    low, high = r["mean_word_length"]
+    return {
+        "mean word length": enough & ~F.col("mean_word_length").between(low, high),
+        "signs per word": F.col("sign_ratio") > F.lit(r["signs"]),
+        "bullet lines": F.col("bullet_share") > F.lit(r["bullets"]),
+        "ellipsis lines": F.col("ellipsis_share") > F.lit(r["ellipses"]),
+        "words without letters": F.col("lettered_share") < F.lit(r["lettered"]),
+        "few stop words": enough & (F.col("common_words") < F.lit(r["stop_words"])),
+        "duplicate lines": F.col("repeated_share") > F.lit(r["repeated_lines"]),
+        "duplicate line characters": F.col("repeated_chars") > F.lit(r["repeated_chars"]),
+    }
+
+
+def _domain(r: dict) -> dict[str, Column]:
+    words = lambda least: F.col("words") >= F.lit(r[least])
+    return {
+        "few letters": F.col("letter_share") < F.lit(r["letters"]),
+        "list or table": F.col("listed_share") >= F.lit(r["listed"]),
+        "no common words": words("common_words") & (F.col("common_share") < F.lit(r["common"])),
+        "letter order": words("odd_words") & (F.col("odd_share") > F.lit(r["odd"])),
+        "word list": words("comma_words") & (F.col("common_share") < F.lit(r["comma_common"])) & (F.col("comma_share") > F.lit(r["commas"])),
+    }
+
+
+def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: list[str], published: dict = PUBLISHED, domain: dict | None = DOMAIN) -> DataFrame:
     """(id, statistics, reasons): every row; ``reasons`` lists the rules it fails, in a fixed order."""
     hashes = np.unique(term_hashes_of(common_words))
     stats = narrow(df, id_col, text_col).mapInArrow(_run(hashes), _DDL)
-    r = {k: F.lit(v) for k, v in rules.items()}
+    failed = _published(published) | (_domain(domain) if domain is not None else {})
     shown = F.col("visible") > 0
-    failed = {
-        "few letters": F.col("letter_share") < r["letters"],
-        "list or table": F.col("listed_share") >= r["listed"],
-        "no common words": (F.col("words") >= r["common_words"]) & (F.col("common_share") < r["common"]),
-        "repeated lines": (F.col("lines") >= r["lines"]) & (F.col("repeated_share") > r["repeated"]),
-        "letter order": (F.col("words") >= r["odd_words"]) & (F.col("odd_share") > r["odd"]),
-        "word list": (F.col("words") >= r["comma_words"]) & (F.col("common_share") < r["comma_common"]) & (F.col("comma_share") > r["commas"]),
-    }
-    reasons = F.array_compact(F.array(*[F.when(shown & ok, F.lit(name)) for name, ok in failed.items()]))
-    return stats.withColumn("reasons", reasons)
+    return stats.withColumn("reasons", F.array_compact(F.array(*[F.when(shown & no, F.lit(name)) for name, no in failed.items()])))
 
 
 def term_hashes_of(words: list[str]) -> np.ndarray:
@@ -259,7 +312,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
     s = text_statistics(table(spark, folder, "documents"), "doc_id", "text", common_words(spark, folder))
     shares = [n for n, t in _STATS if t == pa.float64()]
-    return s.select(F.col("id").alias("doc_id"), "n_chars", "visible", "words", "lines", *[F.round(c, 6).alias(c) for c in shares], "reasons")
+    return s.select(F.col("id").alias("doc_id"), "n_chars", "visible", "words", "lines", "common_words", *[F.round(c, 6).alias(c) for c in shares], "reasons")
 
 
 QUERIES = {"p9_found": p9_found, "p9_stats": p9_stats}

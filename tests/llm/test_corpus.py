@@ -369,3 +369,17 @@ def test_short_run_before_a_long_one(spark):
         rows += [(2 * k, noise(r.randint(0, 70), "λμν") + x + "!" + y + "?"), (2 * k + 1, noise(r.randint(0, 70), "ρστ") + x + ";" + y + ".")]
     got = {(x["a"], x["b"]) for x in shared.SharedSpans(texts(spark, rows), "id", "text").pairs().collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_published_rules_alone(spark):
+    prose = "the king and the men of the house were there in the night and they saw it. " * 4
+    cases = {
+        "mean word length": "a i o u e " * 12, "signs per word": "the end # of the # men and … so it # was", "bullet lines": "• the one\n• the two\n• and three\n",
+        "ellipsis lines": "the one...\nthe two…\nand the end.", "words without letters": "the 12 34 -- 5 67 and", "few stop words": "βατος " * 60, "duplicate lines": "the man went home.\n" * 3,
+    }
+    rows = [(0, prose), (1, "A short word."), *[(10 + i, t) for i, t in enumerate(cases.values())], (99, "the man went to his own house and home.\n" * 2 + "and the other one did not.\nso it was.\nthen it ended.")]
+    got = {r["id"]: r["reasons"] for r in quality.text_statistics(texts(spark, rows), "id", "text", ["the", "and", "of", "in", "it"], domain=None).collect()}
+    assert got[0] == [] and got[1] == []
+    for i, reason in enumerate(cases):
+        assert reason in got[10 + i]
+    assert got[99] == ["duplicate line characters"]
