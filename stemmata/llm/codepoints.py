@@ -58,6 +58,9 @@ def _same_sign(ch: str) -> str:
     n = unicodedata.normalize("NFC", ch)
     return "".join(map(_same_sign, n)) if n != ch else ch
 
+#: Clusters of letter and marks that a worker remembers at most, about.
+REMEMBERED = 200_000
+
 
 class Tables:
     """Lookup tables over all code points, filled block by block as characters turn up."""
@@ -261,6 +264,8 @@ def clusters(cp: np.ndarray, off: np.ndarray, t: Tables) -> tuple[np.ndarray, np
     size = end - start
     drop_to = np.ones(len(cp), np.bool_)
     cp = cp.copy()
+    if len(t.clusters) > REMEMBERED:
+        t.clusters.clear()
     for n in np.unique(size).tolist():  # one gather per cluster length
         which = np.flatnonzero(size == n)
         body = cp[start[which][:, None] + np.arange(n)]

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -28,9 +29,15 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only if unset."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    A temporary folder only where it is unset and everything runs on this machine; on a
+    cluster each executor would write to its own disk, so there the setting is required.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         at = getattr(spark, "_stemmata_shared", None)
         if not at:
             at = tempfile.mkdtemp(prefix="stemmata-")
@@ -39,14 +46,30 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends, lost executors don't matter."""
+    """Write a table to the shared folder and read it back: lineage ends, lost executors don't matter.
+
+    The table stays until ``release`` or the end of the session.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables of ``cut`` so far; results built on them must have been written before."""
+    paths = _written.pop(spark, [])
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side only if its counted rows are few; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df

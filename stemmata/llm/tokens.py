@@ -32,6 +32,8 @@ from .common import narrow, table
 TOKENIZERS = os.environ.get("STEMMATA_TOKENIZERS", "/opt/tokenizers")
 #: Distinct words a worker remembers at most.
 REMEMBERED = 400_000
+#: Pairs of tokens it remembers at most, about.
+REMEMBERED_PAIRS = 2_000_000
 
 _W = r"\p{White_Space}"
 # Fixed value: the published split pattern of the vocabulary, with white space by its Unicode property.
@@ -156,6 +158,8 @@ class Encoder:
         words = list(chain.from_iterable(parts))
         if len(self.known) > REMEMBERED:
             self.clear()
+        if len(self.vocabulary.fits) > REMEMBERED_PAIRS:
+            self.vocabulary.fits.clear()
         place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(place < 0).tolist()
         if missing:

@@ -383,3 +383,31 @@ def test_published_rules_alone(spark):
     for i, reason in enumerate(cases):
         assert reason in got[10 + i]
     assert got[99] == ["duplicate line characters"]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from stemmata.llm import common
+
+    df = common.cut(texts(spark, [(1, "a")]))
+    assert df.count() == 1 and common.release(spark) >= 1 and common.release(spark) == 0
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "spark://x:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Cluster)
+
+
+def test_bounded_memory(monkeypatch, reference):
+    monkeypatch.setattr(tokens, "REMEMBERED_PAIRS", 2)
+    monkeypatch.setattr(C, "REMEMBERED", 1)
+    e = tokens.Encoder(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    for t in ("one two three four five", "κατὰ τὴν γῆν", "unter den Linden"):
+        assert e.encode([t]).to_pylist() == [reference.encode_ordinary(t)]
+    for stored, form in (("e\u0301a\u0300", "éà"), ("o\u0302u\u0308", "ôü")):
+        cp, off, _ = C.consistent(*C.decode(pa.array([stored])))
+        assert C.encode(cp, off).to_pylist() == [form]
