@@ -52,18 +52,40 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 def encoder(merges: list[tuple[str, str]], merge_limit: int | None = None):
-    """A column function: subwords of a word; no merges (limit 0) gives its characters."""
-    use = merges if merge_limit is None else merges[:merge_limit]
+    """A column function: subwords of a word; no merges (limit 0) gives its characters and the end mark."""
+    use = merges if merge_limit is None else merges[: max(0, merge_limit)]
     ranks = {m: i for i, m in enumerate(use)}
 
     def run(words: pd.Series) -> pd.Series:
-        if not ranks:
-            return words.map(lambda w: list(w), na_action="ignore")
         return words.map(lambda w: encode_word(w, ranks), na_action="ignore")
 
     return F.pandas_udf(run, T.ArrayType(T.StringType()))
 
 
+#: Words a worker remembers at most.
+REMEMBERED = 200_000
+
+
+def subwords_of(merges, merge_limit: int | None = None, stop=frozenset()):
+    """A column function: the subwords of an array of words in order, without stop subwords."""
+    use = list(merges) if merge_limit is None else list(merges)[: max(0, merge_limit)]
+    ranks = {tuple(m): i for i, m in enumerate(use)}
+    known: dict[str, list[str]] = {}
+
+    def of(word: str) -> list[str]:
+        got = known.get(word)
+        if got is None:
+            if len(known) > REMEMBERED:
+                known.clear()
+            got = known[word] = [x for x in encode_word(word, ranks) if x not in stop]
+        return got
+
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda words: [x for w in words for x in of(w)], na_action="ignore")
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+
+
 def stop_subwords(freqs: DataFrame, merges: list[tuple[str, str]], n: int = 50) -> DataFrame:
     """(subword, n): the most frequent subwords that end a word, larger first on ties."""
     subs = freqs.select(F.explode(encoder(merges)("word")).alias("subword"), "n").groupBy("subword").agg(F.sum("n").alias("n"))

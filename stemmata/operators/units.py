@@ -20,10 +20,12 @@ def windows(df: DataFrame, key: str, text: str, size: int = 140, overlap: int =
 
     k counts from 1; a text of up to ``size`` words, an empty one included, is one window.
     """
-    w = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
-    base = df.select(key, F.when(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == "", F.array().cast("array<string>")).otherwise(w).alias("all")).where(F.col("all").isNotNull())
-    cut = base.select(key, "all", F.posexplode(window_starts(F.size("all"), size, overlap)).alias("p", "start"), F.size(window_starts(F.size("all"), size, overlap)).alias("windows"))
-    return cut.select(key, (F.col("p") + 1).alias("k"), "windows", F.slice("all", F.col("start") + 1, size).alias("words"))
+    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    words = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    base = df.select(key, words.alias("all")).where(F.col("all").isNotNull())
+    # the slices are made before they become rows, so no row carries all the words
+    slices = F.transform(window_starts(F.size("all"), size, overlap), lambda at: F.slice("all", at + 1, size))
+    return base.select(key, slices.alias("slices")).select(key, F.size("slices").alias("windows"), F.posexplode("slices").alias("p", "words")).select(key, (F.col("p") + 1).alias("k"), "windows", "words")
 
 
 def tokenised(df: DataFrame, key: list[str], text: Column, p: Params) -> DataFrame:
@@ -40,14 +42,14 @@ def bigrams(units: DataFrame, key: str) -> DataFrame:
     return units.where(n >= 2).select(key, F.explode(F.array_distinct(pairs)).alias("gram"))
 
 
-def leave_out_grams(units: DataFrame, key: str, p: Params) -> DataFrame:
-    """(key, gram, c): how often each choice of ngram - n_out ordered words of a window occurs."""
+def leave_out_grams(units: DataFrame, key: str, p: Params, col: str = "norm") -> DataFrame:
+    """(key, gram, c): how often each choice of ngram - n_out ordered words (or subwords) of a window occurs."""
     from itertools import combinations
 
     keep = max(1, p.ngram - p.n_out)
-    n = F.size("norm")
+    n = F.size(col)
     choices = list(combinations(range(p.ngram), keep))
-    one = lambda k: F.array(*[F.concat_ws("\u0001", *[F.element_at("norm", k + i) for i in c]) for c in choices])
+    one = lambda k: F.array(*[F.concat_ws("\u0001", *[F.element_at(col, k + i) for i in c]) for c in choices])
     grams = F.flatten(F.transform(F.sequence(F.lit(1), n - p.ngram + 1), one))
     return units.where(n >= p.ngram).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
 

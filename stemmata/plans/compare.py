@@ -1,10 +1,13 @@
 """Text-reuse comparison of two collections of units, as one declarative plan.
 
-Candidates are pairs that share enough rare word bigrams (an equi-join behind a cap on the
-units a bigram may occur in, so no posting list is unbounded); they, or the best
-``max_candidates`` of them if it is set, are scored by the cosine of TF-IDF weighted leave-n-out grams, and aligned: words match by
-edit distance, runs of matches on one diagonal are islands, and islands close to each other
-fuse into blocks.
+Candidates are pairs that share enough rare word bigrams, behind a cap on the units a bigram
+may occur in; they, or the best ``max_candidates`` of them if it is set, are scored by the
+cosine of TF-IDF weighted leave-n-out grams, and aligned: words match by edit distance, runs
+of matches on one diagonal are islands, and islands close to each other fuse into blocks.
+
+Common bigrams and products of weights are summed in tiles (``operators.tiles``).  Only pairs
+in which a run of ``ngram`` similar words can stand are aligned word by word, as no other can
+keep a block; that bound loses none.
 """
 
 from __future__ import annotations
@@ -13,21 +16,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import subwords as S
+from ..operators import tiles
 from ..operators import units as U
 from ..operators.shared import cut, ranked
 from .params import Params
 
 
+class Side:
+    """One collection: (unit, label, orig array, norm array), cut and normalised once, with its grams.
+
+    A side can take part in many comparisons (a static index against a stream).
+    """
+
+    def __init__(self, units: DataFrame, params: Params = Params()):
+        self.p = p = params.clamped()
+        if p.cap_units is not None:
+            units = units.orderBy("unit").limit(p.cap_units)
+        subs = F.col("norm") if p.merges is None else S.subwords_of(p.merges, p.merge_limit, p.stop)("norm")
+        #: (unit, label, orig, norm, subs); subs are what scores count: words, or subwords in subword mode
+        self.units = cut(units.select("unit", "label", "orig", "norm", subs.alias("subs")) if p.merges is not None else units.select("unit", "label", "orig", "norm"))
+        self._made: dict[str, DataFrame | int] = {}
+
+    def _once(self, name: str, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def count(self) -> int:
+        return self._once("count", self.units.count)
+
+    def bigrams(self) -> DataFrame:
+        """(unit, key): 64-bit hashes stand for bigrams, as shorter keys."""
+        return self._once("bigrams", lambda: cut(U.bigrams(self.units, "unit").select("unit", F.xxhash64("gram").alias("key"))))
+
+    def grams(self) -> DataFrame:
+        """(unit, gram, c) of the leave-n-out grams."""
+        return U.leave_out_grams(self.units, "unit", self.p, "norm" if self.p.merges is None else "subs")
+
+
 class Compare:
-    """``left`` and ``right``: (unit id long, label string, orig array, norm array)."""
+    """``left`` and ``right``: a ``Side``, or (unit id long, label string, orig array, norm array)."""
 
-    def __init__(self, left: DataFrame, right: DataFrame, params: Params = Params()):
+    def __init__(self, left: DataFrame | Side, right: DataFrame | Side, params: Params = Params()):
         self.p = params.clamped()
-        if self.p.cap_units is not None:
-            left, right = (d.orderBy("unit").limit(self.p.cap_units) for d in (left, right))
-        # words are cut and normalised once; every step below reads these tables
-        self.left = cut(left.select(F.col("unit").alias("i"), F.col("label").alias("label_i"), F.col("orig").alias("orig_i"), "norm"))
-        self.right = cut(right.select(F.col("unit").alias("j"), F.col("label").alias("label_j"), F.col("orig").alias("orig_j"), "norm"))
+        self.sides = [x if isinstance(x, Side) else Side(x, self.p) for x in (left, right)]
+        self.left, self.right = (
+            side.units.select(F.col("unit").alias(k), F.col("label").alias(f"label_{k}"), F.col("orig").alias(f"orig_{k}"), "norm") for side, k in zip(self.sides, "ij"))
         self._kept_tables: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make) -> DataFrame:
@@ -36,15 +71,18 @@ class Compare:
             self._kept_tables[name] = cut(make())
         return self._kept_tables[name]
 
+    def _sizes(self) -> tuple[int, int]:
+        return self.sides[0].count(), self.sides[1].count()
+
     # -- phase 1: candidates and scores
 
     def gram_sizes(self) -> DataFrame:
         """(gram, n): in how many right units each bigram occurs."""
         return U.bigrams(self.right, "j").groupBy("gram").agg(F.count("*").alias("n"))
 
-    def cap(self):
-        """The posting cap, max(40, 4 % of the right units), as a scalar subquery."""
-        return self.right.agg(F.greatest(F.lit(40), F.floor(F.lit(0.04) * F.count("*"))).alias("cap")).scalar()
+    def cap(self) -> int:
+        """The posting cap, max(40, 4 % of the right units)."""
+        return max(40, 4 * self._sizes()[1] // 100)
 
     def usable_grams(self) -> DataFrame:
         return self.gram_sizes().where(F.col("n") <= self.cap()).select("gram")
@@ -54,13 +92,8 @@ class Compare:
         return self._once("candidates", self._candidates)
 
     def _candidates(self) -> DataFrame:
-        # 64-bit hashes stand for bigrams here: shorter keys for the largest join
-        hashed = lambda units, key: U.bigrams(units, key).select(key, F.xxhash64("gram").alias("g"))
-        right = cut(hashed(self.right, "j"))
-        usable = right.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= self.cap()).select("g")
-        right = right.join(usable, "g", "left_semi")
-        shared = hashed(self.left, "i").join(right, "g").groupBy("i", "j").agg(F.count("*").alias("shared"))
-        enough = shared.where(F.col("shared") >= self.p.min_shared)
+        left, right = (x.bigrams().select(F.col("unit").alias(k), "key", F.lit(1.0).alias("w")) for x, k in zip(self.sides, "ij"))
+        enough = tiles.in_common(left, right, self._sizes(), self.p.min_shared, self.cap()).select("i", "j", "shared")
         if self.p.max_candidates is None:
             return ranked(enough, F.desc("shared"), "i", "j")
         best = enough.orderBy(F.desc("shared"), "i", "j").limit(self.p.max_candidates)
@@ -69,93 +102,92 @@ class Compare:
 
     def gram_counts(self) -> DataFrame:
         """(side, unit, gram, c) of all units."""
-        a = U.leave_out_grams(self.left, "i", self.p).select(F.lit(1).alias("side"), F.col("i").alias("unit"), "gram", "c")
-        b = U.leave_out_grams(self.right, "j", self.p).select(F.lit(2).alias("side"), F.col("j").alias("unit"), "gram", "c")
+        a, b = (x.grams().select(F.lit(n).alias("side"), "unit", "gram", "c") for n, x in enumerate(self.sides, 1))
         return a.unionByName(b)
 
     def units(self):
-        """Number of units of both sides, empty ones included, as a scalar subquery."""
-        both = self.left.select(F.lit(1).alias("x")).unionByName(self.right.select(F.lit(1).alias("x")))
-        return both.agg(F.count("*")).scalar()
+        """Number of units of both sides, empty ones included."""
+        return F.lit(sum(self._sizes()))
 
     def idf(self, counts: DataFrame | None = None) -> DataFrame:
         """(gram, df, idf) with idf = ln(1 + n / (1 + df)) + 1."""
         df = (self.gram_counts() if counts is None else counts).groupBy("gram").agg(F.count("*").alias("df"))
         return df.withColumn("idf", F.log(F.lit(1.0) + self.units() / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
-    def weights(self, only: DataFrame | None = None) -> DataFrame:
-        """(side, unit, gram, w): TF-IDF weights, of the units in ``only`` (side, unit) if given.
-
-        The inverse document frequency always counts all units, but only grams of the
-        wanted units are shuffled for it.
-        """
+    def weights(self) -> DataFrame:
+        """(side, unit, gram, df, w): TF-IDF weights of all units."""
         counts = self.gram_counts()
-        wanted = counts if only is None else counts.join(only, ["side", "unit"], "left_semi")
-        df = counts if only is None else counts.join(wanted.select("gram").distinct(), "gram", "left_semi")
-        tf = wanted.withColumn("total", F.sum("c").over(Window.partitionBy("side", "unit")))
-        return tf.join(self.idf(df), "gram").select("side", "unit", "gram", (F.col("c") / F.col("total") * F.col("idf")).alias("w"))
+        tf = counts.withColumn("total", F.sum("c").over(Window.partitionBy("side", "unit")))
+        return tf.join(self.idf(counts), "gram").select("side", "unit", "gram", "df", (F.col("c") / F.col("total") * F.col("idf")).alias("w"))
 
-    def _ends(self, pairs: DataFrame) -> DataFrame:
-        both = F.array(F.struct(F.lit(1).alias("side"), F.col("i").alias("unit")), F.struct(F.lit(2).alias("side"), F.col("j").alias("unit")))
-        return pairs.select(F.explode(both).alias("x")).select("x.side", "x.unit").distinct()
+    def _weighed(self) -> DataFrame:
+        """(side, unit, key, df, w), written once: hashes stand for grams."""
+        return self._once("weights", lambda: self.weights().select("side", "unit", F.xxhash64("gram").alias("key"), "df", "w"))
 
     def norms(self) -> DataFrame:
         """(side, unit, norm) of all units with grams."""
-        return self.weights().groupBy("side", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return self._weighed().groupBy("side", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    def _products(self) -> DataFrame:
+        """(i, j, cosine) of every pair with a common gram."""
+        w = self._weighed().where("df > 1")  # a gram of one unit is no common gram
+        left, right = (w.where(f"side = {n}").select(F.col("unit").alias(k), "key", "w") for n, k in ((1, "i"), (2, "j")))
+        size = self.norms()
+        si = size.where("side = 1").select(F.col("unit").alias("i"), F.col("norm").alias("si"))
+        sj = size.where("side = 2").select(F.col("unit").alias("j"), F.col("norm").alias("sj"))
+        dot = tiles.in_common(left, right, self._sizes())
+        return dot.join(si, "i").join(sj, "j").select("i", "j", (F.col("dot") / (F.col("si") * F.col("sj"))).alias("cosine"))
 
     def scored(self) -> DataFrame:
         """(i, j, shared, rank, score): cosine of each candidate, 0 where a side has no grams."""
         return self._once("scored", self._scored)
 
     def _scored(self) -> DataFrame:
-        c = self.candidates()
-        w = cut(self.weights(self._ends(c)))  # grams of the units in candidates
-        wi = w.where("side = 1").select(F.col("unit").alias("i"), "gram", F.col("w").alias("wi"))
-        wj = w.where("side = 2").select(F.col("unit").alias("j"), "gram", F.col("w").alias("wj"))
-        dot = c.select("i", "j").join(wi, "i").join(wj, ["j", "gram"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
-        size = w.groupBy("side", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-        si = size.where("side = 1").select(F.col("unit").alias("i"), F.col("size").alias("si"))
-        sj = size.where("side = 2").select(F.col("unit").alias("j"), F.col("size").alias("sj"))
-        score = F.coalesce(F.col("dot") / (F.col("si") * F.col("sj")), F.lit(0.0))
-        return c.join(dot, ["i", "j"], "left").join(si, "i", "left").join(sj, "j", "left").select("i", "j", "shared", "rank", score.alias("score"))
+        return self.candidates().join(self._products(), ["i", "j"], "left").select("i", "j", "shared", "rank", F.coalesce("cosine", F.lit(0.0)).alias("score"))
 
     def chosen(self) -> DataFrame:
         return self.scored().where(F.col("score") >= self.p.similarity_threshold)
 
     def all_pairs(self) -> DataFrame:
-        """(i, j, score) of every pair with a common gram: the exhaustive mode, still an equi-join."""
-        w = self.weights()
-        wi = w.where("side = 1").select(F.col("unit").alias("i"), "gram", F.col("w").alias("wi"))
-        wj = w.where("side = 2").select(F.col("unit").alias("j"), "gram", F.col("w").alias("wj"))
-        size = w.groupBy("side", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-        si = size.where("side = 1").select(F.col("unit").alias("i"), F.col("size").alias("si"))
-        sj = size.where("side = 2").select(F.col("unit").alias("j"), F.col("size").alias("sj"))
-        dot = wi.join(wj, "gram").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
-        return dot.join(si, "i").join(sj, "j").select("i", "j", (F.col("dot") / (F.col("si") * F.col("sj"))).alias("score"))
+        """(i, j, score) of every pair with a common gram: the exhaustive mode."""
+        return self._products().withColumnRenamed("cosine", "score")
 
     def vocabulary(self) -> DataFrame:
-        both = self.left.select("norm").unionByName(self.right.select("norm"))
-        return both.select(F.explode("norm").alias("w")).agg(F.countDistinct("w").alias("vocab_size"))
+        """(vocab_size): distinct words, or subwords, that take part in the scores."""
+        col = "norm" if self.p.merges is None else "subs"
+        both = self.sides[0].units.select(col).unionByName(self.sides[1].units.select(col))
+        return both.select(F.explode(col).alias("w")).agg(F.countDistinct("w").alias("vocab_size"))
 
     def meta(self) -> DataFrame:
-        """One row: counts, mean score, the automatic threshold (reported, not applied)."""
+        """One row: parameters, counts, mean score, the automatic threshold (reported, not applied)."""
         p = self.p
-        s = self.scored()
+        n1, n2 = self._sizes()
         auto = F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.avg("score") + F.lit(1.2) * F.stddev_pop("score"))
-        return s.agg(
+        counted = self.scored().agg(
             F.count("*").alias("n_candidates"), F.count_if(F.col("score") >= p.similarity_threshold).alias("n_chosen"),
             F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 4).alias("mean"), F.round(auto, 4).alias("threshold"),
-        ).select(
-            self.left.agg(F.count("*")).scalar().alias("n1"), self.right.agg(F.count("*")).scalar().alias("n2"),
-            "n_candidates", "n_chosen", "mean", "threshold", F.lit(p.ngram).alias("ngram"), F.lit(p.n_out).alias("n_out"),
+        )
+        long = lambda x: F.lit(x).cast("long")
+        return counted.select(
+            long(n1).alias("n1"), long(n2).alias("n2"), long(n1 * n2).alias("n_pairs_total"), "n_candidates", "n_chosen", self.vocabulary().scalar().alias("vocab_size"), "mean", "threshold",
+            F.lit(round(p.similarity_threshold, 4)).alias("used_threshold"), F.lit(True).alias("auto_threshold_disabled"), F.lit(p.ngram).alias("ngram"), F.lit(p.n_out).alias("n_out"),
+            F.lit(p.min_chain_words).alias("min_chain_words"), F.lit(round(p.fuzz_threshold, 4)).alias("fuzz_threshold"), F.lit("words" if p.merges is None else "subwords").alias("mode"),
         )
 
     # -- phase 2: alignment
 
-    def cells(self) -> DataFrame:
-        """(i, j, d, wi): words that match, on the diagonal d = wj - wi."""
+    def aligned(self) -> DataFrame:
+        """(i, j) of the chosen pairs with a run of ``ngram`` matching words: no other keeps a block."""
+        return self._once("aligned", self._aligned)
+
+    def _aligned(self) -> DataFrame:
         c = self.candidates().select("i", "j") if self.p.similarity_threshold <= 0 else self.chosen().select("i", "j")
-        left = c.join(self.left.select("i", F.col("norm").alias("ni")), "i").join(self.right.select("j", F.col("norm").alias("nj")), "j")
+        left, right = (x.units.select(F.col("unit").alias(k), F.col("norm").alias("words")) for x, k in zip(self.sides, "ij"))
+        return tiles.may_align(c, left, right, self._sizes(), self.p.fuzz_threshold, self.p.ngram)
+
+    def cells(self) -> DataFrame:
+        """(i, j, d, wi): words of the aligned pairs that match, on the diagonal d = wj - wi."""
+        left = self.aligned().join(self.left.select("i", F.col("norm").alias("ni")), "i").join(self.right.select("j", F.col("norm").alias("nj")), "j")
         a = left.select("i", "j", "nj", F.posexplode("ni").alias("wi", "a"))
         b = a.select("i", "j", "wi", "a", F.posexplode("nj").alias("wj", "b"))
         return b.where(X.word_match(F.col("a"), F.col("b"), self.p.fuzz_threshold)).select("i", "j", (F.col("wj") - F.col("wi")).alias("d"), "wi")
@@ -234,11 +266,24 @@ class Compare:
 
     # -- presentation
 
-    def tsv_rows(self) -> DataFrame:
-        """Text rows of the export, longest chain first: tabs become spaces, nulls are empty."""
-        p = self.pairs()
-        cols = [c for c in p.columns if c != "rank"]
-        cell = [F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\t", " ") for c in cols]
+    def result(self) -> tuple[DataFrame, DataFrame]:
+        """The comparison as a whole: its meta row and all pairs, longest chain first."""
+        return self.meta(), self.pairs(detail=True).orderBy(F.desc("chain_len"), "rank")
+
+    def tsv_rows(self, about_i: DataFrame, about_j: DataFrame) -> DataFrame:
+        """(chain_len, rank, line): rows of the export under ``TSV_COLUMNS``, longest chain first.
+
+        ``about_i``: (i, the eight fields of ``index.work_meta``), ``about_j`` with j.  Tabs
+        become spaces, nulls are empty.
+        """
+        p = self.pairs(detail=True)
+        for k, about in (("i", about_i), ("j", about_j)):
+            p = p.join(about.select(k, *[F.col(c).alias(f"{c}_{k}") for c in ABOUT]), k, "left")
+        cols = []
+        for k in "ij":
+            cols += [F.col(f"{c}_{k}") for c in ABOUT] + [F.col(f"label_{k}"), F.col(f"word_range_{k}"), F.array_join(f"tokens_{k}", " ")]
+        cols += [F.col(c) for c in ("score", "matched_words", "chain_len", "n_blocks", "n_chained", "snippet_i", "snippet_j")]
+        cell = [F.translate(F.coalesce(c.cast("string"), F.lit("")), "\t", " ") for c in cols]
         return p.select("chain_len", "rank", F.concat_ws("\t", *cell).alias("line")).orderBy(F.desc("chain_len"), "rank")
 
     def events(self, every: int = 150) -> DataFrame:
@@ -246,13 +291,32 @@ class Compare:
 
         ``toLocalIterator`` over ``orderBy("seq")`` delivers it incrementally.
         """
-        c = self.chosen().withColumn("n", F.row_number().over(Window.orderBy("rank")))  # one task, as the running count below
-        p = self.pairs().drop("score")
-        hit = c.join(p, ["i", "j", "rank"], "left")
-        found = F.count("chain_len").over(Window.orderBy("n"))
-        hit = hit.withColumn("found", found)
-        pair = hit.where("chain_len is not null").select((F.col("n") * 10).alias("seq"), F.lit("pair").alias("t"), F.to_json(F.struct("i", "j", F.round("score", 4).alias("score"), "chain_len", "matched_words")).alias("payload"))
-        tick = hit.where(F.col("n") % every == 0).select((F.col("n") * 10 + 1).alias("seq"), F.lit("progress").alias("t"), F.to_json(F.struct(F.col("n").alias("done"), "found")).alias("payload"))
-        done = hit.agg(F.lit("done").alias("t"), (F.coalesce(F.max("n"), F.lit(0)) * 10 + 2).alias("seq"), F.to_json(F.struct(F.count("chain_len").alias("found"), F.count("*").alias("total"))).alias("payload")).select("seq", "t", "payload")
-        head = self.meta().select(F.lit(0).alias("seq"), F.lit("meta").alias("t"), F.to_json(F.struct("*")).alias("payload"))
+        pairs = self.pairs(detail=True)
+        c = self.chosen().select("i", "j", "rank")
+        # ranks of chosen pairs without gaps; the places of found pairs decide what was found up to a tick
+        order = c if self.p.similarity_threshold <= 0 else ranked(c, "rank", name="n")
+        c = cut(order.select("i", "j", F.col("rank" if self.p.similarity_threshold <= 0 else "n").alias("n")))
+        hit = cut(c.join(pairs, ["i", "j"]))
+        pair = hit.select((F.col("n") * 10).alias("seq"), F.lit("pair").alias("t"), F.to_json(F.struct(F.struct(*[x for x in pairs.columns if x != "rank"]).alias("pair"))).alias("payload"))
+        total = c.count()
+        # found pairs per stretch between ticks, then a running sum over the stretches
+        stretch = hit.groupBy(F.ceil(F.col("n") / every).cast("long").alias("s")).agg(F.count("*").alias("k"))
+        steps = c.sparkSession.range(1, total // every + 1).withColumnRenamed("id", "s").join(stretch, "s", "left")
+        found = F.sum(F.coalesce("k", F.lit(0))).over(Window.orderBy("s"))  # one row per tick
+        tick = steps.select("s", found.alias("found")).select(
+            (F.col("s") * every * 10 + 1).alias("seq"), F.lit("progress").alias("t"), F.to_json(F.struct((F.col("s") * every).alias("done"), F.lit(total).alias("total"), "found")).alias("payload"))
+        done = hit.agg(F.lit(total * 10 + 2).cast("long").alias("seq"), F.lit("done").alias("t"), F.to_json(F.struct(F.count("*").alias("found"), F.lit(total).alias("total"))).alias("payload"))
+        head = self.meta().select(F.lit(0).cast("long").alias("seq"), F.lit("meta").alias("t"), F.to_json(F.struct("*")).alias("payload"))
         return head.unionByName(pair).unionByName(tick).unionByName(done)
+
+
+#: Fields of a work in the export, and the columns of the export.
+ABOUT = ("author_id", "author_latin", "author_greek", "cts_urn", "title_latin", "title_greek", "edition")
+# Column names of the text export.
+TSV_COLUMNS = (
+    "source1_author_id", "source1_author_latin", "source1_author_greek", "source1_urn", "source1_work_title_latin", "source1_work_title_greek", "source1_edition",
+    "source1_section", "source1_word_range", "source1_chapter",
+    "source2_author_id", "source2_author_latin", "source2_author_greek", "source2_urn", "source2_work_title_latin", "source2_work_title_greek", "source2_edition",
+    "source2_section", "source2_word_range", "source2_chapter",
+    "cosine", "matched_words", "chain_len", "n_blocks", "n_chained", "excerpt_1", "excerpt_2",
+)

@@ -18,6 +18,9 @@ class Params:
     cap_units: int | None = None      # None: all units take part
     window: int = 140
     overlap: int = 25
+    merges: tuple[tuple[str, str], ...] | None = None  # None: words are scored, else their subwords
+    merge_limit: int | None = None    # None: all merges; 0: characters
+    stop: frozenset[str] = frozenset()  # subwords left out of the scores
 
     def clamped(self) -> Params:
         return replace(

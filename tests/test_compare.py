@@ -90,7 +90,7 @@ def test_subwords(spark):
     assert subwords.encode_word("ab", ranks) == ["ab</w>"] and subwords.encode_word("abc", ranks) == ["abc</w>"]
     f = spark.createDataFrame([("ab", 3), ("abc", 2)], "word string, n long")
     assert [(r["subword"], r["n"]) for r in subwords.stop_subwords(f, merges).collect()] == [("ab</w>", 3), ("abc</w>", 2)]
-    assert f.select(subwords.encoder(merges, 0)("word").alias("s")).first()["s"] == ["a", "b"]
+    assert f.select(subwords.encoder(merges, 0)("word").alias("s")).first()["s"] == ["a", "b", "</w>"]
     assert {(r["a"], r["b"]): r["n"] for r in subwords.pair_frequencies(f).collect()} == {("a", "b"): 5, ("b", "</w>"): 3, ("b", "c"): 2, ("c", "</w>"): 2}
 
 
