@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"([\p{L}\p{N}_]+)"
+#: White space by its Unicode property and the four separators U+001C to U+001F, spelt out: faster than (?U)\s.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _SEP = "\u0001"
 
 # Latin letters and the Greek letters typed by them.
@@ -33,7 +35,7 @@ def first_filled(*cols: Column) -> Column:
 def strip_milestones(c: Column) -> Column:
     """Without ``(12)`` and ``[3]``, white space collapsed and trimmed."""
     bare = F.regexp_replace(c, r"[\(\[][0-9]+[\)\]]", "")
-    return F.trim(F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(bare, SPACE, " "))
 
 
 def words(c: Column) -> Column:

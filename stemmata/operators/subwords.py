@@ -29,7 +29,8 @@ def save_model(path: str, merges: list[tuple[str, str]], stop: list[str]) -> Non
 
 def word_frequencies(df: DataFrame, text: str) -> DataFrame:
     """(word, n) over the texts in normal form (normalised before they are cut into words)."""
-    return df.select(F.explode(X.words(X.normalize_text(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # the outer form, so that no text is normalised twice for a filter on the number of words
+    return df.select(F.explode_outer(X.words(X.normalize_text(text))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def pair_frequencies(freqs: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Comparison units: cleaned texts, overlapping windows, words, bigrams."""
+"""Comparison units: cleaned texts, overlapping windows, words, bigrams.
+
+Arrays made here are exploded by the outer form where none is empty: the plain form adds a
+filter on the size of the array, which is pushed down to the scan and makes every array twice.
+"""
 
 from __future__ import annotations
 
@@ -20,18 +24,18 @@ def windows(df: DataFrame, key: str, text: str, size: int = 140, overlap: int =
 
     k counts from 1; a text of up to ``size`` words, an empty one included, is one window.
     """
-    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    clean = F.trim(F.regexp_replace(text, X.SPACE, " "))
     words = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
-    base = df.select(key, words.alias("all")).where(F.col("all").isNotNull())
+    base = df.where(F.col(text).isNotNull()).select(key, words.alias("all"))
     # the slices are made before they become rows, so no row carries all the words
     slices = F.transform(window_starts(F.size("all"), size, overlap), lambda at: F.slice("all", at + 1, size))
-    return base.select(key, slices.alias("slices")).select(key, F.size("slices").alias("windows"), F.posexplode("slices").alias("p", "words")).select(key, (F.col("p") + 1).alias("k"), "windows", "words")
+    return base.select(key, slices.alias("slices")).select(key, F.size("slices").alias("windows"), F.posexplode_outer("slices").alias("p", "words")).where("p is not null").select(key, (F.col("p") + 1).alias("k"), "windows", "words")
 
 
 def tokenised(df: DataFrame, key: list[str], text: Column, p: Params) -> DataFrame:
     """(key, orig, norm): raw words and their normal forms, at most ``cap_words`` of them if it is set."""
     words = X.words(X.strip_milestones(text))
-    orig = df.select(*key, (words if p.cap_words is None else F.slice(words, 1, p.cap_words)).alias("orig")).where(F.col("orig").isNotNull())
+    orig = df.where(text.isNotNull()).select(*key, (words if p.cap_words is None else F.slice(words, 1, p.cap_words)).alias("orig"))
     return orig.select(*key, "orig", X.normalize_words(F.col("orig")).alias("norm"))
 
 
@@ -39,7 +43,7 @@ def bigrams(units: DataFrame, key: str) -> DataFrame:
     """(key, gram): the distinct word bigrams of each unit."""
     n = F.size("norm")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.concat_ws(" ", F.element_at("norm", k), F.try_element_at("norm", k + 1)))
-    return units.where(n >= 2).select(key, F.explode(F.array_distinct(pairs)).alias("gram"))
+    return units.where(n >= 2).select(key, F.explode_outer(F.array_distinct(pairs)).alias("gram"))
 
 
 def leave_out_grams(units: DataFrame, key: str, p: Params, col: str = "norm") -> DataFrame:
@@ -51,7 +55,7 @@ def leave_out_grams(units: DataFrame, key: str, p: Params, col: str = "norm") ->
     choices = list(combinations(range(p.ngram), keep))
     one = lambda k: F.array(*[F.concat_ws("\u0001", *[F.element_at(col, k + i) for i in c]) for c in choices])
     grams = F.flatten(F.transform(F.sequence(F.lit(1), n - p.ngram + 1), one))
-    return units.where(n >= p.ngram).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+    return units.where(n >= p.ngram).select(key, F.explode_outer(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
 
 
 def similar_words(words: DataFrame, threshold: float) -> DataFrame:
