@@ -6,6 +6,10 @@ filter on the size of the array, which is pushed down to the scan and makes ever
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +52,6 @@ def bigrams(units: DataFrame, key: str) -> DataFrame:
 
 def leave_out_grams(units: DataFrame, key: str, p: Params, col: str = "norm") -> DataFrame:
     """(key, gram, c): how often each choice of ngram - n_out ordered words (or subwords) of a window occurs."""
-    from itertools import combinations
-
     keep = max(1, p.ngram - p.n_out)
     n = F.size(col)
     choices = list(combinations(range(p.ngram), keep))
@@ -58,6 +60,54 @@ def leave_out_grams(units: DataFrame, key: str, p: Params, col: str = "norm") ->
     return units.where(n >= p.ngram).select(key, F.explode_outer(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
 
 
+HASHED = "unit long, key long, c int, total int, squares double"
+
+
+def hashed_grams(units: DataFrame, p: Params, col: str = "norm") -> DataFrame:
+    """Leave-n-out grams as 64-bit hashes, counted within each unit without a shuffle.
+
+    Rows (unit, key, c, total) per gram, ``total`` being the number of grams of the unit; and
+    one row per unit with a null key, whose ``squares`` is the sum of (c / total)^2.  Units
+    without grams have no row.
+    """
+    keep = max(1, p.ngram - p.n_out)
+    choices = list(combinations(range(p.ngram), keep))
+    ngram = p.ngram
+
+    def run(batches):
+        for b in batches:
+            unit = b.column(0).to_numpy(zero_copy_only=False)
+            offs = b.column(1).offsets.to_numpy()
+            h = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            offs = offs - offs[0]
+            n = np.maximum(np.diff(offs) - ngram + 1, 0)
+            rows = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offs[:-1], n)
+            keys = []
+            for chosen in choices:
+                acc = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+                for k in chosen:
+                    acc = (acc ^ h[at + k]) * np.uint64(0xD6E8FEB86659FD93)
+                    acc ^= acc >> np.uint64(32)
+                keys.append(acc)
+            if not len(at):
+                continue
+            key, row = np.concatenate(keys), np.tile(rows, len(choices))
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+            c = np.diff(np.append(first, len(key)))
+            key, row = key[first], row[first]
+            total = n[row] * len(choices)
+            yield pa.RecordBatch.from_arrays([pa.array(unit[row]), pa.array(key.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(total.astype(np.int32)), pa.nulls(len(key), pa.float64())], names=["unit", "key", "c", "total", "squares"])
+            squares = np.bincount(row, (c / total) ** 2, len(n))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(unit[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.int32()), pa.array(squares[some])], names=["unit", "key", "c", "total", "squares"])
+
+    hashes = F.transform(col, lambda w: F.xxhash64(w))
+    return units.where(F.size(col) >= p.ngram).select("unit", hashes.alias("hashes")).mapInArrow(run, HASHED)
+
+
 def similar_words(words: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b, of the distinct ``w`` that ``word_match`` at the threshold (0.5 and above), none left out.
 

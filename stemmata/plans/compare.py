@@ -50,9 +50,16 @@ class Side:
         """(unit, key): 64-bit hashes stand for bigrams, as shorter keys."""
         return self._once("bigrams", lambda: cut(U.bigrams(self.units, "unit").select("unit", F.xxhash64("gram").alias("key"))))
 
+    def _scored_words(self) -> str:
+        return "norm" if self.p.merges is None else "subs"
+
     def grams(self) -> DataFrame:
         """(unit, gram, c) of the leave-n-out grams."""
-        return U.leave_out_grams(self.units, "unit", self.p, "norm" if self.p.merges is None else "subs")
+        return U.leave_out_grams(self.units, "unit", self.p, self._scored_words())
+
+    def hashed(self) -> DataFrame:
+        """The same as hashes, with totals (``units.hashed_grams``)."""
+        return self._once("hashed", lambda: cut(U.hashed_grams(self.units, self.p, self._scored_words())))
 
 
 class Compare:
@@ -109,28 +116,41 @@ class Compare:
         """Number of units of both sides, empty ones included."""
         return F.lit(sum(self._sizes()))
 
-    def idf(self, counts: DataFrame | None = None) -> DataFrame:
+    def _idf(self, df):
+        return F.log(F.lit(1.0) + self.units() / (F.lit(1.0) + df)) + F.lit(1.0)
+
+    def idf(self) -> DataFrame:
         """(gram, df, idf) with idf = ln(1 + n / (1 + df)) + 1."""
-        df = (self.gram_counts() if counts is None else counts).groupBy("gram").agg(F.count("*").alias("df"))
-        return df.withColumn("idf", F.log(F.lit(1.0) + self.units() / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+        df = self.gram_counts().groupBy("gram").agg(F.count("*").alias("df"))
+        return df.withColumn("idf", self._idf(F.col("df")))
+
+    def _hashed(self) -> DataFrame:
+        a, b = (x.hashed().withColumn("side", F.lit(n)) for n, x in enumerate(self.sides, 1))
+        return a.unionByName(b)
 
     def weights(self) -> DataFrame:
-        """(side, unit, gram, df, w): TF-IDF weights of all units."""
-        counts = self.gram_counts()
-        tf = counts.withColumn("total", F.sum("c").over(Window.partitionBy("side", "unit")))
-        return tf.join(self.idf(counts), "gram").select("side", "unit", "gram", "df", (F.col("c") / F.col("total") * F.col("idf")).alias("w"))
+        """(side, unit, key, w, less): TF-IDF weights of the grams (as hashes) that more than one unit has.
+
+        A gram of one unit matters to the size of its unit only, which knows the sum of
+        squares as if all its grams were such; ``less`` corrects that sum for this gram.
+        """
+        return self._once("weights", self._weights)
 
-    def _weighed(self) -> DataFrame:
-        """(side, unit, key, df, w), written once: hashes stand for grams."""
-        return self._once("weights", lambda: self.weights().select("side", "unit", F.xxhash64("gram").alias("key"), "df", "w"))
+    def _weights(self) -> DataFrame:
+        grams = self._hashed().where("key is not null")
+        df = grams.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        tf, idf = F.col("c") / F.col("total"), self._idf(F.col("df"))
+        return grams.join(df, "key").select("side", "unit", "key", (tf * idf).alias("w"), (tf * tf * (idf * idf - self._idf(F.lit(1)) * self._idf(F.lit(1)))).alias("less"))
 
     def norms(self) -> DataFrame:
         """(side, unit, norm) of all units with grams."""
-        return self._weighed().groupBy("side", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        whole = self._hashed().where("key is null").select("side", "unit", (F.col("squares") * self._idf(F.lit(1)) * self._idf(F.lit(1))).alias("part"))
+        parts = whole.unionByName(self.weights().select("side", "unit", F.col("less").alias("part")))
+        return parts.groupBy("side", "unit").agg(F.sqrt(F.sum("part")).alias("norm"))
 
     def _products(self) -> DataFrame:
         """(i, j, cosine) of every pair with a common gram."""
-        w = self._weighed().where("df > 1")  # a gram of one unit is no common gram
+        w = self.weights()
         left, right = (w.where(f"side = {n}").select(F.col("unit").alias(k), "key", "w") for n, k in ((1, "i"), (2, "j")))
         size = self.norms()
         si = size.where("side = 1").select(F.col("unit").alias("i"), F.col("norm").alias("si"))
