@@ -69,13 +69,21 @@ def candidate_pairs(spark, folder):
     return comparison(spark, folder).candidates()
 
 
+def _digest(gram: str):
+    """A number that stands for the text of a gram; sums of it compare sets of grams in one row."""
+    return F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long")
+
+
 def leave_n_out_tf(spark, folder):
-    g = U.leave_out_grams(section_units(spark, folder), "unit", Params())
-    return g.groupBy("unit").agg(F.count("*").alias("grams"), F.sum("c").alias("total"), F.max("c").alias("most"))
+    """Grams of each section: how many, their counts, and a digest of all (gram, count)."""
+    g = U.leave_out_grams(section_units(spark, folder), "unit", CORPUS)
+    return g.groupBy("unit").agg(F.count("*").alias("grams"), F.sum("c").alias("total"), F.max("c").alias("most"), F.sum(_digest("gram") * F.col("c")).alias("digest"))
 
 
 def idf(spark, folder):
-    return comparison(spark, folder).idf().groupBy("df").agg(F.count("*").alias("grams"), F.round(F.max("idf"), 9).alias("idf"))
+    """Grams by document frequency: how many, the digest of their texts, and the weight."""
+    g = comparison(spark, folder).idf()
+    return g.groupBy("df").agg(F.count("*").alias("grams"), F.sum(_digest("gram")).alias("digest"), F.round(F.min("idf"), 9).alias("least"), F.round(F.max("idf"), 9).alias("idf"))
 
 
 def unit_norms(spark, folder):
@@ -111,11 +119,15 @@ def word_match(spark, folder):
 
 
 def diagonal_runs(spark, folder):
-    return comparison(spark, folder).runs().groupBy("len").agg(F.count("*").alias("runs"), F.countDistinct("i", "j").alias("pairs"))
+    """Every run of matches of the pairs that keep a block."""
+    c = comparison(spark, folder)
+    return c.runs().join(c.kept().select("i", "j").distinct(), ["i", "j"], "left_semi").select("i", "j", "d", "start", "len")
 
 
 def fused_blocks(spark, folder):
-    return comparison(spark, folder).blocks().where("n >= 2").select("i", "j", "d", "a", "n", "core")
+    """Every block of the pairs that keep one."""
+    c = comparison(spark, folder)
+    return c.blocks().join(c.kept().select("i", "j").distinct(), ["i", "j"], "left_semi").select("i", "j", "d", "a", "n", "core")
 
 
 def kept_blocks(spark, folder):
@@ -138,19 +150,18 @@ def compare_top60(spark, folder):
     return comparison(spark, folder).pairs().orderBy(F.desc("chain_len"), "rank").limit(60).select("i", "j", "chain_len", "rank", "matched_words")
 
 
-def compare_tsv_rows(spark, folder):
-    p = comparison(spark, folder).pairs()
-    cols = ["chain_len", "matched_words", "word_range_i", "word_range_j", "label_i", "label_j", "snippet_i", "snippet_j"]
-    return p.select("i", "j", F.concat_ws("\t", *[F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\t", " ") for c in cols]).alias("line"))
-
-
 def compare_dense(spark, folder):
     """The exhaustive mode: every section and document window with a common gram."""
     return comparison(spark, folder).all_pairs().select("i", "j", F.round("score", 6).alias("score"))
 
 
 def compare_events(spark, folder):
-    return comparison(spark, folder).events().select("seq", "t", "payload")
+    """The event stream, with some fields of its payloads."""
+    e = comparison(spark, folder).events()
+    f = lambda path, t="long": F.get_json_object("payload", f"$.{path}").cast(t)
+    return e.select(
+        "seq", "t", *[f(n).alias(n) for n in ("n1", "n2", "n_candidates", "vocab_size", "done", "total", "found")],
+        *[f(f"pair.{n}").alias(n) for n in ("i", "j", "chain_len", "n_blocks", "matched_words")], f("pair.word_range_i", "string").alias("range_i"), f("pair.snippet_j", "string").alias("snippet_j"))
 
 
 def compare_detail(spark, folder):
@@ -183,14 +194,14 @@ _CLEAN = r"trim(regexp_replace(regexp_replace(text, '[\(\[][0-9]+[\)\]]', '', 'g
 _WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+')"
 
 _UNITS = f"""
-with s0 as (select section_id i, label label_i, ({_WORDS.format(_CLEAN)})[1:400] orig from sections where text is not null),
+with s0 as (select section_id i, label label_i, {_WORDS.format(_CLEAN)} orig from sections where text is not null),
 s as (select i, label_i, orig, list_transform(orig, lambda x: {_norm('x')}) norm from s0),
 d0 as (select doc_id, {_CLEAN} clean from documents where text is not null),
 d1 as (select doc_id, case when clean = '' then []::varchar[] else string_split(clean, ' ') end w from d0),
 d2 as (select doc_id, w, unnest(range(0, greatest(len(w), 1), 115)) st from d1),
 d3 as (select doc_id, st // 115 + 1 k, w[st + 1:st + 140] w from d2 where st = 0 or st + 25 < len(w)),
 d4 as (select doc_id * 1000000 + k j, doc_id || '#' || k label_j, array_to_string(w, ' ') text from d3),
-d5 as (select j, label_j, ({_WORDS.format(_CLEAN)})[1:400] orig from d4),
+d5 as (select j, label_j, {_WORDS.format(_CLEAN)} orig from d4),
 d as (select j, label_j, orig, list_transform(orig, lambda x: {_norm('x')}) norm from d5)"""
 
 _CAND = """,
@@ -198,7 +209,7 @@ g1 as (select distinct i, norm[k] || ' ' || norm[k + 1] gram from (select i, nor
 g2 as (select distinct j, norm[k] || ' ' || norm[k + 1] gram from (select j, norm, unnest(range(1, len(norm))) k from d)),
 usable as (select gram from g2 group by gram having count(*) <= (select greatest(40, floor(0.04 * count(*))) from d)),
 c0 as (select i, j, count(*) shared from g1 join g2 using (gram) where gram in (select gram from usable) group by i, j having count(*) >= 3),
-cand as (select i, j, shared, row_number() over (order by shared desc, i, j) as rank from (select * from c0 order by shared desc, i, j limit 4000))"""
+cand as (select i, j, shared, row_number() over (order by shared desc, i, j) as rank from c0)"""
 
 _TF = """,
 w4 as (select 1 side, i unit, norm[k] a, norm[k + 1] b, norm[k + 2] c, norm[k + 3] d from (select i, norm, unnest(range(1, len(norm) - 2)) k from s)
@@ -254,13 +265,37 @@ shown as (select pairs.i, pairs.j, label_i, label_j, pairs.rank, score, n_blocks
   from pairs join s on s.i = pairs.i join d on d.j = pairs.j)"""
 
 _FULL = _UNITS + _CAND + _TF + _IDF + _SCORE + _ALIGN
-_NAMES = "(select record_id, lower(author_name_latin) a, lower(author_name_english) b from canon where regexp_full_match(author_name_latin, '[ -~]*') and regexp_full_match(author_name_english, '[ -~]*'))"
+#: Pairs of names with a sign of one byte for every letter of the pair, so that a byte-wise distance counts letters.
+_CHARS = "list_distinct(list_transform(range(1, length(x || y) + 1), lambda k: substring(x || y, k::bigint, 1)))"
+_ALPHABET = _q("".join(chr(c) for c in range(35, 127)))
+
+
+def _signed(rows: str, keep: str) -> str:
+    """rows (keep, x, y) as (keep, x, y, a, b), a and b the names in signs; nulls stay null."""
+    return f"""(select {keep}, x, y, translate(x, chars, substring({_ALPHABET}, 1, length(chars))) a, translate(y, chars, substring({_ALPHABET}, 1, length(chars))) b
+  from (select *, array_to_string({_CHARS}, '') chars from {rows}))"""
+
+
+_NAMES = _signed("(select record_id, lower(author_name_latin) x, lower(author_name_english) y from canon)", "record_id")
 _RATIO = "case when length(a) + length(b) = 0 then 1.0 else 1.0 - levenshtein(a, b) / (length(a) + length(b)) end"
 
 
 def _match(t: float) -> str:
-    return f"coalesce(a = b or (abs(length(a) - length(b)) / (length(a) + length(b)) <= {1.0 - t!r}::double and {_RATIO} >= {t}), true)"
-
+    return f"(a = b or (abs(length(a) - length(b)) / (length(a) + length(b)) <= {1.0 - t!r}::double and {_RATIO} >= {t}))"
+
+
+_DIGEST = "('0x' || substring(md5(gram), 1, 8))::bigint"
+#: The comparison's meta row.
+_META = """ select (select count(*) from s) n1, (select count(*) from d) n2, (select count(*) from s) * (select count(*) from d) n_pairs_total, count(*) n_candidates, count(*) filter (score >= 0) n_chosen,
+  (select count(distinct w) from (select unnest(norm) w from s union all select unnest(norm) from d)) vocab_size,
+  round(coalesce(avg(score), 0.0), 4) mean, round(case when count(*) < 2 then 0.0 else avg(score) + 1.2 * stddev_pop(score) end, 4) threshold,
+  0.0::double used_threshold, true auto_threshold_disabled, 4 ngram, 1 n_out, 2 min_chain_words, 0.75::double fuzz_threshold, 'words' as mode from scored"""
+_EVENTS = f""",
+meta as ({_META}), total as (select count(*) total from cand), ev as (select *, row_number() over (order by rank) found from shown)
+select 0::bigint seq, 'meta' t, n1, n2, n_candidates, vocab_size, null::bigint done, null::bigint total, null::bigint found, null::bigint i, null::bigint j, null::bigint chain_len, null::bigint n_blocks, null::bigint matched_words, null::varchar range_i, null::varchar snippet_j from meta
+union all select rank * 10, 'pair', null, null, null, null, null, null, null, i, j, chain_len, n_blocks, matched_words, word_range_i, snippet_j from shown
+union all select k * 1500 + 1, 'progress', null, null, null, null, k * 150, total, (select count(*) from shown where rank <= k * 150), null, null, null, null, null, null, null from (select unnest(range(1, total // 150 + 1)) k, total from total)
+union all select total * 10 + 2, 'done', null, null, null, null, null, total, (select count(*) from shown), null, null, null, null, null, null, null from total"""
 
 SQL = {
     "normalize_words": f"select word, {_norm('word')} norm from (select distinct unnest({_WORDS.format('text')}) word from sections)",
@@ -270,27 +305,26 @@ SQL = {
     "word_bigrams": _UNITS + _CAND + " select gram, count(*) units from g1 group by gram",
     "bigram_df_cap": _UNITS + _CAND + " select gram from usable",
     "candidate_pairs": _UNITS + _CAND + " select i, j, shared, rank from cand",
-    "leave_n_out_tf": _UNITS + _TF + " select unit, count(*) grams, sum(c)::bigint total, max(c) most from tf where side = 1 group by unit",
-    "idf": _UNITS + _TF + _IDF + " select df, count(*) grams, round(max(idf), 9) idf from idf group by df",
+    "leave_n_out_tf": _UNITS + _TF + f" select unit, count(*) grams, sum(c)::bigint total, max(c) most, sum({_DIGEST} * c)::bigint digest from tf where side = 1 group by unit",
+    "idf": _UNITS + _TF + _IDF + f" select df, count(*) grams, sum({_DIGEST})::bigint digest, round(min(idf), 9) least, round(max(idf), 9) idf from idf group by df",
     "unit_norms": _UNITS + _TF + _IDF + " select side, unit, round(norm, 9) norm from nm",
     "scored_pairs": _UNITS + _CAND + _TF + _IDF + _SCORE + " select i, j, shared, rank, round(score, 6) score from scored",
-    "auto_threshold": _UNITS + _CAND + _TF + _IDF + _SCORE + """ select (select count(*) from s) n1, (select count(*) from d) n2, count(*) n_candidates, count(*) filter (score >= 0) n_chosen,
-  round(coalesce(avg(score), 0.0), 4) mean, round(case when count(*) < 2 then 0.0 else avg(score) + 1.2 * stddev_pop(score) end, 4) threshold, 4 ngram, 1 n_out from scored""",
+    "auto_threshold": _UNITS + _CAND + _TF + _IDF + _SCORE + _META,
     "vocab_size": _UNITS + " select count(distinct w) vocab_size from (select unnest(norm) w from s union all select unnest(norm) from d)",
-    "similar_types": f"""with n as (select distinct unnest({_WORDS.format('lower(author_name_latin)')}) w from canon), m as (select w from n where length(w) >= 4)
-  select a, b, round({_RATIO}, 9) ratio from (select x.w a, y.w b from m x join m y on left(x.w, 3) = left(y.w, 3) where x.w < y.w) where {_match(0.9)}""",
+    "similar_types": f"""with n as (select distinct unnest({_WORDS.format('lower(author_name_latin)')}) w from canon)
+  select x a, y b, ratio from (select x, y, round({_RATIO}, 9) ratio, {_match(0.9)} ok from {_signed('(select x.w x, y.w y from n x join n y on x.w < y.w)', '1')}) where ok""",
     "levenshtein_ratio": f"select record_id, round({_RATIO}, 9) ratio, round(100 * ({_RATIO}), 1) fuzz from {_NAMES}",
     "word_match": "select record_id, " + ", ".join(f"{_match(t)} m{int(t * 100)}" for t in (0.5, 0.75, 0.8, 0.9)) + f" from {_NAMES}",
-    "diagonal_runs": _UNITS + _CAND + _ALIGN + " select len, count(*) runs, count(distinct (i, j)) pairs from runs group by len",
-    "fused_blocks": _UNITS + _CAND + _ALIGN + " select i, j, d, a, n, core from blocks where n >= 2",
+    "diagonal_runs": _UNITS + _CAND + _ALIGN + " select i, j, d, st as start, len from runs where (i, j) in (select (i, j) from kept)",
+    "fused_blocks": _UNITS + _CAND + _ALIGN + " select i, j, d, a, n, core from blocks where (i, j) in (select (i, j) from kept)",
     "kept_blocks": _UNITS + _CAND + _ALIGN + " select i, j, k, d, a, n, core from kept",
     "matched_word_map": _UNITS + _CAND + _ALIGN + " select i, j, side, word, k from matched",
     "bridge_words": _UNITS + _CAND + _ALIGN + _BRIDGE + " select i, j, side, word, arg_max(fuzz, k) fuzz from (select i, j, k, fuzz, 'i' side, wi word from bw union all select i, j, k, fuzz, 'j', wi + d from bw) group by i, j, side, word",
     "compare_pairs": _FULL + _PAIRS + " select * from shown",
     "compare_top60": _FULL + _PAIRS + " select i, j, chain_len, rank, matched_words from shown order by chain_len desc, rank limit 60",
-    "compare_tsv_rows": _FULL + _PAIRS + """ select i, j, concat_ws(chr(9), chain_len, matched_words, word_range_i, word_range_j, translate(coalesce(label_i, ''), chr(9), ' '), label_j, snippet_i, snippet_j) line from shown""",
+    "compare_events": _FULL + _PAIRS + _EVENTS,
     "compare_dense": _UNITS + _TF + _IDF + """ , dd as (select x.unit i, y.unit j, sum(x.w * y.w) dot from wt x join wt y on y.gram = x.gram and y.side = 2 where x.side = 1 group by x.unit, y.unit)
-  select i, j, round(dot / (a.norm * b.norm), 6) score from dd join nm a on a.side = 1 and a.unit = i join nm b on b.side = 2 and b.unit = j where dot / (a.norm * b.norm) >= 0.02""",
+  select i, j, round(dot / (a.norm * b.norm), 6) score from dd join nm a on a.side = 1 and a.unit = i join nm b on b.side = 2 and b.unit = j""",
     "compare_detail": _FULL + _BRIDGE + """ select m.i, m.j, len(s.orig) n_i, len(d.orig) n_j, m.mi matched_i, m.mj matched_j, coalesce(b.bi, 0) bridges_i from
   (select i, j, count(*) filter (side = 'i') mi, count(*) filter (side = 'j') mj from matched group by i, j) m join s on s.i = m.i join d on d.j = m.j
   left join (select i, j, count(distinct wi) bi from bw group by i, j) b on b.i = m.i and b.j = m.j""",
@@ -298,4 +332,4 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     normalize_words, strip_milestones, word_tokens, unit_windows, word_bigrams, bigram_df_cap, candidate_pairs, leave_n_out_tf, idf, unit_norms, scored_pairs,
     auto_threshold, vocab_size, similar_types, levenshtein_ratio, word_match, diagonal_runs, fused_blocks, kept_blocks, matched_word_map, bridge_words,
-    compare_pairs, compare_top60, compare_tsv_rows, compare_dense, compare_events, compare_detail)}
+    compare_pairs, compare_top60, compare_dense, compare_events, compare_detail)}
