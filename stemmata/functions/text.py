@@ -19,7 +19,7 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _SEP = "\u0001"
 
 # Latin letters and the Greek letters typed by them.
-LATIN_KEYS = "abgdezhqiklmncoprtufxyw"
+LATIN_KEYS = "abgdezhqiklmnxoprtufcyw"
 GREEK_KEYS = "αβγδεζηθικλμνξοπρτυφχψω"
 
 
@@ -87,15 +87,23 @@ def latin_to_greek(c: Column) -> Column:
     return F.translate(F.regexp_replace(inner, "s", "ς"), LATIN_KEYS, GREEK_KEYS)
 
 
-@F.pandas_udf(T.StringType())
-def strip_greek(s: pd.Series) -> pd.Series:
-    """Lower case without accents (U+0300 to U+036F), and with the one sigma."""
+def typed_in_greek(text: str) -> str:
+    """``latin_to_greek`` of one string."""
+    low = text.lower()
+    ends = "".join("ς" if c == "s" and not ("a" <= low[k + 1 : k + 2] <= "z") else "σ" if c == "s" else c for k, c in enumerate(low))
+    return ends.translate(str.maketrans(LATIN_KEYS, GREEK_KEYS))
+
+
+def bare_greek(text: str) -> str:
+    """NFKD without U+0300 to U+036F, small final sigmas as the other one, then lower case."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not "\u0300" <= c <= "\u036f")
+    return bare.replace("ς", "σ").lower()
 
-    def one(x: str) -> str:
-        bare = "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ")
-        return bare.lower().replace("ς", "σ")
 
-    return s.map(one, na_action="ignore")
+@F.pandas_udf(T.StringType())
+def strip_greek(s: pd.Series) -> pd.Series:
+    """``bare_greek`` of a column; null stays null."""
+    return s.map(bare_greek, na_action="ignore")
 
 
 def first_script(c: Column) -> Column:
@@ -110,6 +118,20 @@ def viaf_curie(c: Column) -> Column:
     return F.when(last.rlike("^[0-9]+$"), F.concat(F.lit("viaf:"), last))
 
 
+def expand_curie(c: Column, prefixes: dict[str, str]) -> Column:
+    """The IRI of ``prefix:rest`` for a known prefix; IRIs and other values stay as they are."""
+    known = F.create_map(*[x for k, v in prefixes.items() for x in (F.lit(k), F.lit(v))])
+    base = F.try_element_at(known, F.substring_index(c, ":", 1))
+    return F.when(c.startswith("http") | ~F.contains(c, F.lit(":")) | base.isNull(), c).otherwise(F.concat(base, F.regexp_replace(c, "^[^:]*:", "")))
+
+
+def exact_work(q: Column) -> Column:
+    """struct(author_id, work_id) of a query ``number.number`` that names one work, else null."""
+    pattern = r"^([0-9]{1,4})\.([0-9]{3})$"
+    t = F.trim(q)
+    return F.when(t.rlike(pattern), F.struct(F.lpad(F.regexp_extract(t, pattern, 1), 4, "0").alias("author_id"), F.regexp_extract(t, pattern, 2).alias("work_id")))
+
+
 def quote_url(c: Column) -> Column:
     return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
 
@@ -125,6 +147,26 @@ def json_quote(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
 
 
+def json_object(**fields: Column) -> Column:
+    """A JSON object of fields that are JSON already; null fields are left out."""
+    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_one_or_list(values: Column) -> Column:
+    """JSON of an array of strings, each once: null if empty, the string itself if there is one, else a list."""
+    each = F.transform(F.array_distinct(F.array_compact(values)), json_quote_text)
+    return F.when(F.size(each) == 1, F.element_at(each, 1)).when(F.size(each) > 1, F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+
+
+def json_quote_text(c: Column) -> Column:
+    """``json_quote`` for use inside lambdas: quotation marks, backslashes and control characters."""
+    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for sign, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(sign), F.lit(code))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit("0%")).otherwise(F.format_string("%.1f%%", F.round(100.0 * part / whole, 1)))
 

@@ -7,10 +7,13 @@ and the columns of the merged row are coalesced in the order of priority.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .shared import ranked
 
 CLASSIC, LATE, LISTED, CTS, GRAPH = "list:classic", "list:late", "list:works", "cts:inventory", "wiki:graph"
 CREATING = (CLASSIC, LATE, LISTED, CTS)  # sources whose ids make authors; the graph only adds to them
@@ -150,16 +153,129 @@ def search(authors: DataFrame, q: str, limit: int = 50) -> DataFrame:
     return authors.where(blob(authors).contains(q)).withColumn("rank", rank).orderBy("rank", "author_id").limit(limit)
 
 
-def search_variants(authors: DataFrame, q: str, limit: int = 50) -> DataFrame:
-    """Like ``search`` with three readings of the query: as typed, as Greek keys, without accents."""
-    one = authors.sparkSession.range(1).select(F.lower(F.lit(q.strip())).alias("raw"), X.strip_greek(X.latin_to_greek(F.lit(q.strip()))).alias("typed"), X.strip_greek(F.lit(q.strip())).alias("bare"))
-    v = one.first()  # one row: the readings of the query
-    plain, bare = blob(authors), X.strip_greek(blob(authors))
-    hit = plain.contains(v.raw) | bare.contains(v.typed) | bare.contains(v.bare)
-    names = X.strip_greek(F.concat_ws(" ", "author_name_latin", "author_name_english", "author_name_greek"))
-    starts = F.coalesce(F.lower("author_name_latin").startswith(v.raw) | F.lower("author_name_english").startswith(v.raw), F.lit(False))
-    rank = F.when(starts, 0).when(names.contains(v.typed), 1).otherwise(2)
-    return authors.where(hit).withColumn("rank", rank).orderBy("rank", "author_id").limit(limit)
+def client_search(authors: DataFrame, q: str) -> DataFrame:
+    """All authors a query finds, with their place: the order of the search box.
+
+    A number of up to four digits finds the authors whose id starts with it, zero-filled.
+    Other queries are read as typed, as Greek keys, and both without accents, and are looked
+    for in names, epitheton, id and the Greek name without accents.  Ids that start with the
+    query come first, then names that do, then the rest, each in order of id.
+    """
+    q = q.strip().lower()
+    if re.fullmatch("[0-9]{1,4}", q):
+        hit = F.col("author_id").startswith(q.zfill(4))
+    else:
+        greek = X.typed_in_greek(q)
+        fields = ("author_name_latin", "author_name_greek", "author_name_english", "epitheton", "author_id")
+        text = F.lower(F.concat_ws("  ", *[X.blank_to_null(F.col(c)) for c in fields], X.blank_to_null(X.strip_greek("author_name_greek"))))
+        hit = F.lit(q == "")
+        for v in dict.fromkeys((q, greek, X.bare_greek(q), X.bare_greek(greek))):
+            hit = hit | (text.contains(v) if v else F.lit(False))
+    starts = F.coalesce(F.lower("author_name_latin").startswith(q), F.lit(False)) | F.coalesce(F.lower("author_name_english").startswith(q), F.lit(False))
+    rank = F.when(F.lit(q == ""), 0).otherwise(F.when(F.col("author_id").startswith(q), 0).otherwise(2) + F.when(starts, 0).otherwise(1))
+    return ranked(authors.where(hit).withColumn("rank", rank), "rank", "author_id", name="place")
+
+
+def client_totals(readable: DataFrame, authors: DataFrame) -> DataFrame:
+    """One row (authors, works, readable): the totals above the list; works of no listed author do not count."""
+    per = readable.groupBy("author_id").agg(F.count("*").alias("w"), F.count_if("readable").alias("r"))
+    zero = F.lit(0).cast("long")
+    both = authors.select("author_id").join(per, "author_id", "left")
+    return both.agg(F.count("*").alias("authors"), F.coalesce(F.sum("w"), zero).alias("works"), F.coalesce(F.sum("r"), zero).alias("readable"))
+
+
+def work_titles(works: DataFrame) -> DataFrame:
+    """(author_id, work_id, title): the Latin, else English, else Greek title, else the number."""
+    return works.select("author_id", "work_id", F.coalesce(X.first_filled(F.col("title_latin"), F.col("title_english"), F.col("title_greek")), F.concat_ws(".", "author_id", "work_id")).alias("title"))
+
+
+def work_meta(authors: DataFrame, works: DataFrame) -> DataFrame:
+    """(author_id, work_id, author_latin, author_greek, titles, edition, cts_urn): a work as exports name it."""
+    a = authors.select("author_id", F.col("author_name_latin").alias("author_latin"), F.col("author_name_greek").alias("author_greek"))
+    return works.join(a, "author_id", "left").select("author_id", "work_id", "author_latin", "author_greek", "title_latin", "title_greek", "title_english", "edition", "cts_urn")
+
+
+def export_works(authors: DataFrame, readable: DataFrame) -> DataFrame:
+    """The eleven columns of the table of works for another reader, ``seq`` numbering the works of an author."""
+    a = authors.select("author_id", F.col("author_name_latin").alias("latin_name"), F.col("author_name_greek").alias("greek_name"))
+    seq = F.row_number().over(Window.partitionBy("author_id").orderBy("work_id"))
+    return readable.join(a, "author_id").select(
+        "author_id", "work_id", seq.alias("seq"), "latin_name", "greek_name", F.col("title_latin").alias("latin_title"), F.col("title_greek").alias("greek_title"), F.col("title_english").alias("english_title"),
+        "cts_urn", F.col("cts_confirmed").cast("int").alias("cts_confirmed"), F.col("exportable").cast("int").alias("exportable"))
+
+
+def export_authors(authors: DataFrame, readable: DataFrame) -> DataFrame:
+    """The nine columns of its table of authors."""
+    per = readable.groupBy("author_id").agg(F.count("*").alias("work_count"), F.count_if("exportable").alias("readable_count"))
+    zero = F.lit(0).cast("long")
+    return authors.join(per, "author_id", "left").select(
+        "author_id", F.col("author_name_latin").alias("latin_name"), F.col("author_name_greek").alias("greek_name"), F.col("author_name_english").alias("english_name"), "epitheton", "era", "viaf_id",
+        F.coalesce("work_count", zero).alias("work_count"), F.coalesce("readable_count", zero).alias("readable_count"))
+
+
+#: Required keys and the pattern or type of every key of an author and of a work.
+AUTHOR_KEYS = {"author_id": "^[0-9]{4}$", **{k: "text" for k in ("author_name_latin", "author_name_greek", "author_name_english", "epitheton", "era", "viaf_id")}, "source": "list", "works": "object"}
+WORK_KEYS = {"work_id": "^[0-9]{3}$", **{k: "text" for k in ("title_latin", "title_english", "title_greek", "edition")}, "cts_urn": r"^urn:cts:greekLit:tlg[0-9]{4}\.tlg[0-9]{3}$", "cts_confirmed": "flag"}
+AUTHOR_REQUIRED, WORK_REQUIRED = ("author_id", "author_name_latin", "works", "source"), ("work_id", "cts_urn", "cts_confirmed")
+
+
+def _broken(doc: Column, key: Column, pattern: str, keys: dict[str, str], required: tuple[str, ...]) -> Column:
+    """Names of the rules that one JSON object breaks."""
+    there = F.json_object_keys(doc)
+    v = lambda k: F.variant_get(F.try_parse_json(doc), f"$.{k}", "variant")
+    kind = lambda k: F.schema_of_variant(v(k))
+    rules = [F.when(there.isNull(), F.lit("no object")), F.when(~key.rlike(pattern), F.lit("key"))]
+    rules += [F.when(~F.array_contains(there, k), F.lit(f"{k} missing")) for k in required]
+    rules.append(F.when(F.size(F.array_except(there, F.array(*[F.lit(k) for k in keys]))) > 0, F.lit("unknown key")))
+    for k, t in keys.items():
+        has = F.array_contains(there, k)
+        if t == "text":
+            ok = kind(k).isin("STRING", "VOID")
+        elif t == "flag":
+            ok = kind(k) == "BOOLEAN"
+        elif t == "object":
+            ok = kind(k).startswith("OBJECT")
+        elif t == "list":
+            ok = F.size(F.try_variant_get(F.try_parse_json(doc), f"$.{k}", "array<string>")) > 0
+        else:
+            ok = (kind(k) == "STRING") & F.variant_get(F.try_parse_json(doc), f"$.{k}", "string").rlike(t)
+        rules.append(F.when(has & ~F.coalesce(ok, F.lit(False)), F.lit(k)))
+    return F.array_compact(F.array(*rules))
+
+
+def schema_violations(docs: DataFrame) -> DataFrame:
+    """(key, rule) of every rule of the index document that (author_id, node) JSON breaks; works are keyed author.work."""
+    a = docs.select(F.col("author_id").alias("key"), F.explode(_broken(F.col("node"), F.col("author_id"), "^[0-9]{4}$", AUTHOR_KEYS, AUTHOR_REQUIRED)).alias("rule"))
+    w = docs.select("author_id", F.explode(F.from_json(F.get_json_object("node", "$.works"), "map<string,string>")).alias("work_id", "work"))
+    w = w.select(F.concat_ws(".", "author_id", "work_id").alias("key"), F.explode(_broken(F.col("work"), F.col("work_id"), "^[0-9]{3}$", WORK_KEYS, WORK_REQUIRED)).alias("rule"))
+    return a.unionByName(w)
+
+
+def documents(authors: DataFrame, works: DataFrame) -> DataFrame:
+    """(author_id, node): the index document of each author as JSON, nulls kept, works keyed by number."""
+    work = F.struct("work_id", "title_latin", "title_english", "title_greek", "edition", "cts_urn", "cts_confirmed")
+    per = works.groupBy("author_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("work_id", work.alias("w"))))).alias("works"))
+    none = F.create_map().cast("map<string,struct<work_id:string,title_latin:string,title_english:string,title_greek:string,edition:string,cts_urn:string,cts_confirmed:boolean>>")
+    node = F.struct(*[F.col(c) for c in ("author_id", "author_name_latin", "author_name_greek", "author_name_english", "epitheton", "era", "viaf_id", "source")], F.coalesce("works", none).alias("works"))
+    return authors.join(per, "author_id", "left").select("author_id", F.to_json(node, {"ignoreNullFields": "false"}).alias("node"))
+
+
+# Search pages of four libraries (id, label, rank, address before the query, detail).
+SEARCHES = (
+    ("bsb", "Bayerische Staatsbibliothek (digitale Sammlungen)", 6, "https://www.digitale-sammlungen.de/de/search?query=", "Search link — a successful hit is not guaranteed."),
+    ("google-books", "Google Books", 7, "https://www.google.com/search?tbm=bks&q=", "Search link."),
+    ("hathitrust", "HathiTrust", 8, "https://catalog.hathitrust.org/Search/Results?q=", "Search link."),
+    ("gallica", "BnF Gallica", 9, "https://gallica.bnf.fr/Search?q=", "Search link."),
+)
+
+
+def search_links(authors: DataFrame, works: DataFrame, searches=SEARCHES) -> DataFrame:
+    """Links to search pages for every work, asking for its author and title."""
+    names = authors.select("author_id", "author_name_english", "author_name_latin")
+    asked = F.concat_ws(" ", X.first_filled(F.trim("author_name_english"), F.trim("author_name_latin")), X.first_filled(F.trim("title_english"), F.trim("title_latin"), F.trim("title_greek")))
+    each = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(rank).alias("link_rank"), F.lit(url).alias("url"), F.lit(detail).alias("detail")) for i, label, rank, url, detail in searches])
+    made = works.join(names, "author_id", "left").select("author_id", "work_id", X.quote_url(asked).alias("q"), F.explode(each).alias("l"))
+    return made.select("author_id", "work_id", "l.label", "l.link_rank", F.lit("scan").alias("link_type"), F.lit("search").alias("kind"), F.concat("l.url", "q").alias("url"), "l.detail")
 
 
 def rank_links(links: DataFrame) -> DataFrame:

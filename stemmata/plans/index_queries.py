@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import index as I
 from ..operators import lod as L
 from ..operators import subwords as S
+from ..sources import files
 from .compare_queries import _FLAT, _norm
 
 
@@ -120,13 +121,49 @@ def author_search_id(spark, folder):
 
 
 def author_search_translit(spark, folder):
-    return I.search_variants(authors(spark, folder), "mi", 100000).select("author_id")
+    """The search box with Latin letters that also stand for Greek ones."""
+    return I.client_search(authors(spark, folder), "mi").select("author_id", "rank", "place")
+
+
+def client_search_id(spark, folder):
+    return I.client_search(authors(spark, folder), "1").select("author_id", "rank", "place")
 
 
 def client_paging(spark, folder):
-    """The second page of 150 authors in order of id."""
-    w = Window.orderBy("author_id")
-    return authors(spark, folder).select("author_id").orderBy("author_id").offset(150).limit(150)
+    """The second page of five authors in order of id: paging is the feature."""
+    return authors(spark, folder).select("author_id").orderBy("author_id").offset(5).limit(5)
+
+
+def client_totals(spark, folder):
+    return I.client_totals(_readable(spark, folder), authors(spark, folder))
+
+
+def exact_work_jump(spark, folder):
+    """Where the query ``author.work``, made from the numbers of every record, leads."""
+    w = table(spark, folder, "works").select("record_id", F.concat_ws(".", F.coalesce("author_id", F.lit("")), F.coalesce("work_id", F.lit(""))).alias("q"))
+    return w.select("record_id", X.exact_work(F.col("q")).alias("x")).select("record_id", "x.author_id", "x.work_id")
+
+
+def work_titles(spark, folder):
+    return I.work_titles(works(spark, folder))
+
+
+def work_meta(spark, folder):
+    return I.work_meta(authors(spark, folder), works(spark, folder))
+
+
+def export_works(spark, folder):
+    return I.export_works(authors(spark, folder), _readable(spark, folder))
+
+
+def export_authors(spark, folder):
+    return I.export_authors(authors(spark, folder), I.readable(works(spark, folder), _repo(spark, folder), _local(spark, folder)))
+
+
+def schema_check(spark, folder):
+    """Broken rules of the documents of all authors; documents of odd ids lose their sources, which must be found."""
+    a = authors(spark, folder).withColumn("source", F.when(F.col("author_id").cast("int") % 2 == 0, F.col("source")).otherwise(F.array().cast("array<string>")))
+    return I.schema_violations(I.documents(a, works(spark, folder)))
 
 
 def source_ranking(spark, folder):
@@ -136,16 +173,9 @@ def source_ranking(spark, folder):
 def source_discovery(spark, folder):
     """Ranked links of every work: what the tables know, then search links made from its names."""
     a, w = authors(spark, folder), works(spark, folder)
-    q = F.concat_ws(" ", X.first_filled(F.trim("author_name_english"), F.trim("author_name_latin")), X.first_filled(F.trim("title_english"), F.trim("title_latin"), F.trim("title_greek")))
-    made = w.join(a.select("author_id", "author_name_english", "author_name_latin"), "author_id", "left").select("author_id", "work_id", F.lit("search").alias("kind"), F.lit(7).alias("link_rank"), F.concat(F.lit("https://search.example/?q="), X.quote_url(q)).alias("url"))
-    known = table(spark, folder, "source_links").distinct().select("author_id", "work_id", "kind", "link_rank", "url")
-    return known.unionByName(made)
-
-
-def pick_preferred_file(spark, folder):
-    """One link per work: text before metadata before scan, confirmed first, then url."""
-    pref = F.when(F.col("link_type") == "text", 0).when(F.col("link_type") == "metadata", 1).otherwise(2) * 2 + F.when(F.col("kind") == "confirmed", 0).otherwise(1)
-    return table(spark, folder, "source_links").groupBy("author_id", "work_id").agg(F.min(F.struct(pref.alias("pref"), "url")).alias("m")).select("author_id", "work_id", "m.pref", "m.url")
+    known = table(spark, folder, "source_links").select("link_id", "author_id", "work_id", "label", "link_rank", "link_type", "kind", "url", "detail")
+    made = I.search_links(a, w)
+    return I.rank_links(known.unionByName(made, allowMissingColumns=True)).select("author_id", "work_id", "place", "link_rank", "kind", "url")
 
 
 def most_common_id(spark, folder):
@@ -183,7 +213,13 @@ def publishable(spark, folder):
 
 
 def triples_links(spark, folder):
-    return L.links(authors(spark, folder), _overlaid(spark, folder))
+    return L.links(authors(spark, folder), _overlaid(spark, folder), qids=_qids(spark, folder))
+
+
+def _qids(spark, folder):
+    """Stand-in for the ids of the graph: one per author it knows, from its first record."""
+    c = table(spark, folder, "canon").where(F.array_contains("source", I.GRAPH)).select(X.digits(F.col("author_id"), 4).alias("author_id"), "record_id").where("author_id is not null")
+    return c.groupBy("author_id").agg(F.concat(F.lit("Q"), F.min("record_id").cast("string")).alias("wikidata_qid"))
 
 
 def triples_editions(spark, folder):
@@ -195,13 +231,29 @@ def ntriples_lines(spark, folder):
 
 
 def jsonld_nodes(spark, folder):
-    return L.nodes(authors(spark, folder), works(spark, folder))
+    return L.nodes(authors(spark, folder), works(spark, folder), qids=_qids(spark, folder), source_iris={I.CLASSIC: "https://lists.example/", I.LATE: "https://lists.example/", I.CTS: "https://cts.example/"})
+
+
+def _restricted(spark, folder):
+    """The index with the works of one source as a restricted tier."""
+    w = table(spark, folder, "works").where("source = 'scan:ocr'").withColumn("author_id", X.digits(F.col("author_id"), 4)).withColumn("work_id", X.digits(F.col("work_id"), 3)).where("author_id is not null and work_id is not null")
+    first = Window.partitionBy("author_id", "work_id").orderBy("record_id")
+    w = w.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").withColumn("source", F.lit("restricted:scan"))
+    return I.upsert_works(works(spark, folder), w)
 
 
 def leak_check(spark, folder):
-    o = _overlaid(spark, folder)
-    hidden = o.where(~L.publishable(F.col("source"), F.col("cts_confirmed"))).select(F.concat(F.lit(L.BASE), "author_id", F.lit("."), "work_id").alias("iri"))
-    return L.leaks(L.editions(o), hidden)
+    """Guarded strings found in what is published, and in a publication without the firewall, where they must be found."""
+    o = _restricted(spark, folder)
+    hidden = o.where(F.col("source").startswith("restricted:"))
+    iri = F.concat(F.lit(L.BASE), F.col("author_id"), F.lit("."), F.col("work_id"))
+    guarded = hidden.select(iri.alias("secret")).unionByName(hidden.where("coalesce(edition, '') <> ''").select(F.concat(iri, F.lit("> <"), F.lit(L.CITATION), F.lit('> "'), F.col("edition")).alias("secret")))
+    out = None
+    for name, src in (("published", o), ("unguarded", o.withColumn("source", F.lit(None).cast("string")).withColumn("cts_confirmed", F.lit(True)))):
+        lines = L.ntriples(L.links(authors(spark, folder), src).unionByName(L.editions(src)))
+        found = L.leaks(lines, guarded).groupBy("secret").agg(F.count("*").alias("lines")).withColumn("publication", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def section_index(spark, folder):
@@ -211,8 +263,8 @@ def section_index(spark, folder):
 
 def text_blocks(spark, folder):
     """Paragraphs of plain texts, split at blank lines."""
-    d = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", r"\n[ \t\r\n]*\n")).alias("pos", "block"))
-    return d.where("block rlike '[^ \\t\\r\\n]'").select("doc_id", "pos", F.length("block").alias("chars"))
+    d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value"))
+    return files.plain_blocks(d).select(F.col("path").cast("long").alias("doc_id"), "block_pos", F.length("text").alias("chars"), F.md5(F.regexp_replace("text", r"[\s\p{Z}\x85\x1c-\x1f]", "")).alias("ink"))
 
 
 def word_freqs(spark, folder):
@@ -303,6 +355,30 @@ _SUF = "case {0} when 1 then 'st' when 2 then 'nd' when 3 then 'rd' else 'th' en
 _CB, _CD = "((abs(b) + 99) // 100)", "((abs(d) + 99) // 100)"
 _LO, _HI = f"least({_CB}, {_CD})", f"greatest({_CB}, {_CD})"
 
+def _one_or_list(values: str, name: str) -> str:
+    each = f"list_transform({values}, lambda x: to_json(x)::varchar)"
+    return f"case when len({values}) = 1 then '\"{name}\":' || {each}[1] when len({values}) > 1 then '\"{name}\":[' || array_to_string({each}, ',') || ']' end"
+
+
+def _bare(x: str) -> str:
+    wide = "\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # spaces that NFKD makes plain
+    flat = f"replace(strip_accents(translate({_FLAT.replace('{0}', x, 1)}, '{wide}', '{' ' * len(wide)}')), 'ς', 'σ')"
+    return f"lower(regexp_replace({flat}, '([\\p{{L}}])Σ([^\\p{{L}}]|$)', '\\1ς\\2', 'g'))"
+
+
+def _bpe(word: str) -> str:
+    """The subwords of a word by ``MERGES``: none uses a pair that a later one makes, so they may run in order."""
+    s = f"chr(2) || array_to_string(list_transform(range(1, length({word}) + 1), lambda k: substring({word}, k::bigint, 1)) || ['</w>'], chr(3) || chr(2)) || chr(3)"
+    for a, b in MERGES:
+        s = f"replace({s}, chr(2) || '{a}' || chr(3) || chr(2) || '{b}' || chr(3), chr(2) || '{a}{b}' || chr(3))"
+    return f"string_split(regexp_replace({s}, '^\\x02|\\x03$', '', 'g'), chr(3) || chr(2))"
+
+
+_CLIENT = f"lower(concat_ws('  ', nullif(author_name_latin, ''), nullif(author_name_greek, ''), nullif(author_name_english, ''), nullif(epitheton, ''), author_id, nullif({_bare('author_name_greek')}, '')))"
+_STARTS = "(coalesce(starts_with(lower(author_name_latin), 'mi'), false) or coalesce(starts_with(lower(author_name_english), 'mi'), false))"
+_QID = f""", qids as (select {_dig('author_id', 4)} author_id, 'Q' || min(record_id) qid from canon where list_contains(source, '{I.GRAPH}') and {_dig('author_id', 4)} is not null group by 1)"""
+_FREQ = f"with f as (select {_norm('w')} word, count(*) n from (select unnest(regexp_extract_all(strip_accents({_FLAT.replace('{0}', 'text', 1)}), '[\\p{{L}}\\p{{N}}_]+')) w from sections) group by 1)"
+
 SQL = {
     "author_merge_full_outer": _AUTH + " select * exclude (source), array_to_string(source, ';') source from authors",
     "work_union": _ONLYW + " select * from wk",
@@ -325,13 +401,29 @@ SQL = {
     "author_search": _AUTH + f""" select author_id, 4 * (not starts_with(author_id, 'mi'))::int + 2 * (not coalesce(starts_with(lower(author_name_latin), 'mi'), false))::int + (not coalesce(starts_with(lower(author_name_english), 'mi'), false))::int as rank
   from authors where contains({_BLOB}, 'mi') order by rank, author_id limit 50""",
     "author_search_id": _AUTH + " select author_id, (author_id <> '0017')::int as rank from authors where starts_with(author_id, '0017') order by rank, author_id limit 50",
-    "author_search_translit": _AUTH + f" select author_id from authors where contains({_BLOB}, 'mi') or contains(replace(strip_accents({_BLOB}), 'ς', 'σ'), 'μι') or contains(strip_accents({_BLOB}), 'mi')",
-    "client_paging": _AUTH + " select author_id from authors order by author_id limit 150 offset 150",
+    "author_search_translit": _AUTH + f""", h as (select author_id, case when starts_with(author_id, 'mi') then 0 else 2 end + case when {_STARTS} then 0 else 1 end as rank from authors where contains({_CLIENT}, 'mi') or contains({_CLIENT}, 'μι'))
+  select author_id, rank, row_number() over (order by rank, author_id) place from h""",
+    "client_search_id": _AUTH + " select author_id, case when starts_with(author_id, '1') then 0 else 2 end + 1 as rank, row_number() over (order by starts_with(author_id, '1') desc, author_id) place from authors where starts_with(author_id, '0001')",
+    "client_paging": _AUTH + " select author_id from authors order by author_id limit 5 offset 5",
+    "client_totals": _BOTH + _READ + " select (select count(*) from authors) authors, count(*) works, count(*) filter (readable) readable from rd where author_id in (select author_id from authors)",
+    "exact_work_jump": r"""with q as (select record_id, coalesce(author_id, '') || '.' || coalesce(work_id, '') q from works), m as (select record_id, trim(q) q, regexp_full_match(trim(q), '[0-9]{1,4}\.[0-9]{3}') ok from q)
+  select record_id, case when ok then lpad(split_part(q, '.', 1), 4, '0') end author_id, case when ok then split_part(q, '.', 2) end work_id from m""",
+    "work_titles": _ONLYW + " select author_id, work_id, coalesce(title_latin, title_english, title_greek, author_id || '.' || work_id) title from wk",
+    "work_meta": _BOTH + " select author_id, work_id, author_name_latin author_latin, author_name_greek author_greek, title_latin, title_greek, title_english, edition, cts_urn from wk left join authors using (author_id)",
+    "export_works": _BOTH + _READ + """ select author_id, work_id, row_number() over (partition by author_id order by work_id) seq, author_name_latin latin_name, author_name_greek greek_name, title_latin latin_title, title_greek greek_title, title_english english_title,
+  cts_urn, cts_confirmed::int cts_confirmed, exportable::int exportable from rd join authors using (author_id)""",
+    "export_authors": _BOTH + _READ + """ select author_id, author_name_latin latin_name, author_name_greek greek_name, author_name_english english_name, epitheton, era, viaf_id, count(rd.work_id) work_count, count(*) filter (rd.exportable) readable_count
+  from authors left join rd using (author_id) group by all""",
+    "schema_check": _BOTH + r""" select author_id as key, 'source' as rule from authors where author_id::int % 2 = 1 or len(source) = 0
+  union all select author_id, 'key' from authors where not regexp_full_match(author_id, '[0-9]{4}') union all select author_id, 'author_id' from authors where not regexp_full_match(author_id, '[0-9]{4}')
+  union all select author_id || '.' || work_id, 'cts_urn' from wk join authors using (author_id) where not regexp_full_match(cts_urn, 'urn:cts:greekLit:tlg[0-9]{4}\.tlg[0-9]{3}')
+  union all select author_id || '.' || work_id, r from wk join authors using (author_id), (select unnest(['key', 'work_id']) r) where not regexp_full_match(work_id, '[0-9]{3}')""",
     "source_ranking": "select author_id, work_id, row_number() over (partition by author_id, work_id order by link_rank nulls first, length(coalesce(detail, '')) desc, url nulls first, link_id nulls first) place, link_id, link_rank, url from (select distinct * from source_links)",
-    "source_discovery": _BOTH + """ select author_id, work_id, kind, link_rank, url from (select distinct * from source_links) union all
-  select author_id, work_id, 'search', 7, 'https://search.example/?q=' || replace(url_encode(concat_ws(' ', coalesce(nullif(trim(author_name_english), ''), nullif(trim(author_name_latin), '')), coalesce(nullif(trim(title_english), ''), nullif(trim(title_latin), ''), nullif(trim(title_greek), '')))), '+', '%20')
-  from wk left join authors using (author_id)""",
-    "pick_preferred_file": "select author_id, work_id, pref, url from (select *, row_number() over (partition by author_id, work_id order by pref, url) rn from (select *, 2 * case link_type when 'text' then 0 when 'metadata' then 1 else 2 end + case when kind = 'confirmed' then 0 else 1 end pref from source_links)) where rn = 1",
+    "source_discovery": _BOTH + f""", q as (select author_id, work_id, replace(url_encode(concat_ws(' ', coalesce(nullif(trim(author_name_english), ''), nullif(trim(author_name_latin), '')), coalesce(nullif(trim(title_english), ''), nullif(trim(title_latin), ''), nullif(trim(title_greek), '')))), '+', '%20') q
+  from wk left join authors using (author_id)),
+  l as (select link_id, author_id, work_id, link_rank, kind, url, detail from (select distinct * exclude (seen_at) from source_links)
+    {' '.join(f"union all select null, author_id, work_id, {r}, 'search', '{u}' || q, '{d}' from q" for _, _, r, u, d in I.SEARCHES)})
+  select author_id, work_id, row_number() over (partition by author_id, work_id order by link_rank nulls first, length(coalesce(detail, '')) desc, url nulls first, link_id nulls first) place, link_rank, kind, url from l""",
     "most_common_id": "select author_id, work_id, provider, n from (select *, row_number() over (partition by author_id, work_id order by n desc, f) rn from (select author_id, work_id, provider, count(*) n, min(section_id) f from sections where provider is not null group by all)) where rn = 1",
     "era_format": f"""with c as (select record_id, ((record_id * 37) % 1500 - 800)::int y from canon), e as (select record_id, case when record_id % 7 = 0 then null else y end b, case when record_id % 5 = 0 then null else y + 60 end d from c)
   select record_id, case when b < 0 and d < 0 then {_LO} || 'th' || case when {_LO} <> {_HI} then '–' || {_HI} || 'th' else '' end || ' c. B.C.'
@@ -342,22 +434,50 @@ SQL = {
   {{'l': case when {_script('title_english')} = 'grc' then 'grc' else 'en' end, 't': title_english}}], lambda x: coalesce(x.t, '') <> '') v from wk)
   select author_id, work_id, """ + ", ".join(f"case when len(list_filter(v, lambda x: x.l = '{k}')) = 2 and list_filter(v, lambda x: x.l = '{k}')[1].t = list_filter(v, lambda x: x.l = '{k}')[2].t then list_filter(v, lambda x: x.l = '{k}')[1].t else coalesce(array_to_string(list_transform(list_filter(v, lambda x: x.l = '{k}'), lambda x: x.t), '|'), '') end {k}" for k in ("la", "grc", "en")) + " from b",
     "publishable": _ONLYW + _OVER + f" select author_id, work_id, {_PUB} publishable from ov",
-    "triples_links": _BOTH + _OVER + f""", p as (select * from ov where {_PUB}), m as (select author_id, regexp_extract(regexp_replace(regexp_replace(trim(viaf_id), '^viaf:', ''), '/+$', ''), '([^/]*)$', 1) v from authors), mm as (select * from m where regexp_full_match(v, '[0-9]+'))
-  select '{L.BASE}' || author_id subject, '{L.EXACT}' predicate, '{L.VIAF}' || v as object, false as literal from mm union all select '{L.BASE}' || author_id, '{L.IDENTIFIER}', 'tlg' || author_id, true from mm
+    "triples_links": _BOTH + _QID + _OVER + f""", p as (select * from ov where {_PUB}), m as (select author_id, regexp_extract(regexp_replace(regexp_replace(trim(viaf_id), '^viaf:', ''), '/+$', ''), '([^/]*)$', 1) v from authors),
+  mm as (select author_id, '{L.VIAF}' || v as iri from m where regexp_full_match(v, '[0-9]+') union all select author_id, '{L.PREFIXES['wd']}' || qid from qids join authors using (author_id))
+  select '{L.BASE}' || author_id subject, '{L.EXACT}' predicate, iri as object, false as literal from mm union all select '{L.BASE}' || author_id, '{L.IDENTIFIER}', 'tlg' || author_id, true from (select distinct author_id from mm)
   union all select '{L.BASE}' || author_id, '{L.HAS_PART}', '{L.BASE}' || author_id || '.' || work_id, false from p union all select '{L.BASE}' || author_id || '.' || work_id, '{L.IDENTIFIER}', cts_urn, true from p
-  union all select '{L.BASE}' || author_id || '.' || work_id, '{L.EXACT}', 'https://reader.example/' || cts_urn || '/', false from p where cts_confirmed""",
+  union all select '{L.BASE}' || author_id || '.' || work_id, '{L.EXACT}', '{L.READER}' || cts_urn || '/', false from p where cts_confirmed""",
+    "jsonld_nodes": _BOTH + _QID + f""", tb as (select author_id, work_id, list_filter([{{'l': case when {_script('title_latin')} = 'grc' then 'grc' else 'la' end, 't': title_latin}}, {{'l': case when {_script('title_greek')} = 'grc' then 'grc' else 'la' end, 't': title_greek}},
+  {{'l': case when {_script('title_english')} = 'grc' then 'grc' else 'en' end, 't': title_english}}], lambda x: coalesce(x.t, '') <> '') v from wk),
+  tl as (select author_id, work_id, {', '.join(f"case when len(list_filter(v, lambda x: x.l = '{k}')) = 2 and list_filter(v, lambda x: x.l = '{k}')[1].t = list_filter(v, lambda x: x.l = '{k}')[2].t then [list_filter(v, lambda x: x.l = '{k}')[1].t] else list_transform(list_filter(v, lambda x: x.l = '{k}'), lambda x: x.t) end {k}" for k in ('la', 'grc', 'en'))} from tb),
+  wn as (select wk.author_id, wk.work_id, '{{' || concat_ws(',', '"id":' || to_json('{L.BASE}' || wk.author_id || '.' || wk.work_id), '"type":"Work"', '"author":' || to_json('{L.BASE}' || wk.author_id), '"cts_urn":' || to_json(cts_urn), '"ctsConfirmed":' || cts_confirmed::varchar,
+    case when cts_confirmed then '"exactMatch":' || to_json('{L.READER}' || cts_urn || '/') end, case when not cts_confirmed then '"proposed":true' end, {', '.join(_one_or_list(k, f'title_{k}') for k in ('la', 'grc', 'en'))}, '"edition":' || to_json(nullif(edition, ''))) || '}}' w
+    from wk join tl on tl.author_id = wk.author_id and tl.work_id = wk.work_id),
+  per as (select author_id, '[' || string_agg(w, ',' order by work_id) || ']' ws from wn group by author_id),
+  vm as (select author_id, regexp_extract(regexp_replace(regexp_replace(trim(viaf_id), '^viaf:', ''), '/+$', ''), '([^/]*)$', 1) v from authors),
+  am as (select authors.*, list_filter([case when qid is not null then 'wd:' || qid end, case when regexp_full_match(v, '[0-9]+') then 'viaf:' || v end], lambda x: x is not null) ms,
+    list_distinct(list_filter([{', '.join(f"case when list_contains(source, '{t}') then '{u}' end" for t, u in (('list:classic', 'https://lists.example/'), ('list:late', 'https://lists.example/'), ('cts:inventory', 'https://cts.example/')))}], lambda x: x is not null)) ds0, ws
+    from authors left join qids using (author_id) left join vm using (author_id) left join per using (author_id)),
+  an as (select *, case when len(ds0) = 2 then ['https://lists.example/', 'https://cts.example/'] else ds0 end ds from am)
+  select author_id, '{{' || concat_ws(',', '"id":' || to_json('{L.BASE}' || author_id), '"type":"Author"', '"inScheme":' || to_json('{L.BASE}'), '"tlg_id":' || to_json('tlg' || author_id), '"name_la":' || to_json(nullif(author_name_latin, '')), '"name_grc":' || to_json(nullif(author_name_greek, '')), '"name_en":' || to_json(nullif(author_name_english, '')),
+    '"epithet":' || to_json(nullif(epitheton, '')), '"floruit":' || to_json(nullif(era, '')), {_one_or_list('ms', 'exactMatch')}, {_one_or_list('ds', 'derivedFrom')}, '"works":' || ws) || '}}' node from an""",
+    "peel_epitheton": f"""with c as (select record_id, concat_ws(' ', author_name_latin, epitheton) display from canon),
+  t as (select record_id, display, list_filter(regexp_split_to_array(trim(display), '[\\s\\p{{Z}}\\x{{85}}\\x{{0b}}]+'), lambda x: x <> '') tok from c),
+  n as (select *, coalesce(list_position(list_transform(list_reverse(tok), lambda x: regexp_replace(lower(x), '^[<>()\\[\\],]+|[<>()\\[\\],]+$', '', 'g') in ({', '.join(repr(g) for g in X.GENRES)})), false) - 1, len(tok)) k from t)
+  select record_id, case when k = 0 then trim(display) else array_to_string(tok[1:len(tok) - k], ' ') end as name, case when k > 0 then array_to_string(tok[len(tok) - k + 1:], ' ') end epitheton from n""",
+    "transliterate": f"""select record_id, translate(replace(regexp_replace(regexp_replace(lower(author_name_latin), 's([a-z])', 'σ\\1', 'g'), 's([a-z])', 'σ\\1', 'g'), 's', 'ς'), '{X.LATIN_KEYS}', '{X.GREEK_KEYS}') greek, {_bare('author_name_greek')} bare from canon""",
+    "bpe_pair_counts": _FREQ + """, l as (select list_transform(range(1, length(word) + 1), lambda k: substring(word, k::bigint, 1)) || ['</w>'] s, n from f), p as (select unnest(list_zip(s[:-2], s[2:])) x, n from l)
+  select x[1] a, x[2] b, sum(n)::bigint n from p group by 1, 2""",
+    "bpe_tokens": _FREQ + f" select word, array_to_string({_bpe('word')}, ' ') subwords from f",
+    "stop_subwords": _FREQ + f", t as (select unnest({_bpe('word')}) subword, n from f) select subword, sum(n)::bigint n from t where contains(subword, '</w>') group by subword order by n desc, subword desc limit 50",
     "triples_editions": _ONLYW + _OVER + f" select '{L.BASE}' || author_id || '.' || work_id subject, '{L.CITATION}' predicate, edition as object, true as literal from ov where {_PUB} and coalesce(edition, '') <> ''",
     "ntriples_lines": _ONLYW + _OVER + f" select '<{L.BASE}' || author_id || '.' || work_id || '> <{L.CITATION}> ' || to_json(edition)::varchar || ' .' line from ov where {_PUB} and coalesce(edition, '') <> ''",
-    "leak_check": _ONLYW + _OVER + f" select distinct author_id || '.' || work_id subject from ov where {_PUB} and coalesce(edition, '') <> '' intersect select author_id || '.' || work_id from ov where not {_PUB}",
+    "leak_check": _BOTH + f""", rs as (select * from (select {_dig('author_id', 4)} aid, {_dig('work_id', 3)} wid, edition, row_number() over (partition by {_dig('author_id', 4)}, {_dig('work_id', 3)} order by record_id) rn from works where source = 'scan:ocr') where rn = 1 and aid is not null and wid is not null),
+  hid as (select aid, wid, coalesce(nullif(rs.edition, ''), nullif(wk.edition, '')) ed, wk.cts_confirmed is not null known from rs left join wk on wk.author_id = aid and wk.work_id = wid)
+  select '{L.BASE}' || aid || '.' || wid secret, 'unguarded' publication, 3 + (ed is not null)::int as lines from hid
+  union all select '{L.BASE}' || aid || '.' || wid || '> <{L.CITATION}> "' || ed, 'unguarded', 1 from hid where ed is not null""",
     "word_freqs": f"select {_norm('w')} word, count(*) n from (select unnest(regexp_extract_all(strip_accents({_FLAT.replace('{0}', 'text', 1)}), '[\\p{{L}}\\p{{N}}_]+')) w from sections) group by 1",
     "section_index": "select author_id, work_id, sec_index, label, count(*) blocks, count(*) filter (kind = 'line') lines, sum(coalesce(length(text), 0))::bigint chars from sections group by all",
-    "text_blocks": r"""with p as (select doc_id, regexp_split_to_array(text, '\n[ \t\r\n]*\n') v from documents where text is not null), q as (select doc_id, generate_subscripts(v, 1) - 1 pos, unnest(v) block from p)
-  select doc_id, pos, length(block) chars from q where regexp_matches(block, '[^ \t\r\n]')""",
+    "text_blocks": r"""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\s\x0b]*\n'), lambda b: regexp_replace(b, '^[\s\p{Z}\x{85}\x{0b}]+|[\s\p{Z}\x{85}\x{0b}]+$', '', 'g')), lambda b: b <> '') v from documents where text is not null),
+  q as (select doc_id, generate_subscripts(v, 1) - 1 block_pos, unnest(v) block from p)
+  select doc_id, block_pos, length(block) chars, md5(regexp_replace(block, '[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]', '', 'g')) ink from q""",
     "json_props": "select k, count(*) n, max(event_id) as last from (select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k from events) group by k",
     "source_badges": "select link_id, url, case when kind = 'search' then 'search' when link_type = 'text' then 'text' when link_type = 'metadata' then 'meta' else 'scan' end badge, replace(replace(replace(replace(replace(coalesce(label, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as label from source_links",
 }
 QUERIES = {f.__name__: f for f in (
     author_merge_full_outer, work_union, provenance_array, overlay_upsert, cache_upsert, readable_counts, exportable_seq, canon_flat_left, flat_inner, nested_canon, author_detail,
-    build_report, validate_ids, validation_summary, author_search, author_search_id, author_search_translit, client_paging, source_ranking, source_discovery, pick_preferred_file,
+    build_report, validate_ids, validation_summary, author_search, author_search_id, author_search_translit, client_search_id, client_paging, client_totals, exact_work_jump, work_titles, work_meta, export_works, export_authors, schema_check, source_ranking, source_discovery,
     most_common_id, era_format, peel_epitheton, first_script, title_buckets, publishable, triples_links, triples_editions, ntriples_lines, jsonld_nodes, leak_check, section_index,
     text_blocks, word_freqs, bpe_pair_counts, bpe_tokens, stop_subwords, json_props, transliterate, source_badges)}

@@ -18,7 +18,10 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_sqlite(authors: DataFrame, works: DataFrame, path: str) -> None:
-    """Tables authors and works, dropped and made anew; rows arrive partition by partition."""
+    """Tables authors and works, dropped and made anew; rows arrive partition by partition.
+
+    One writer on the driver, as SQLite has; meant for an index of authors, not for texts.
+    """
     with sqlite3.connect(path) as db:
         for name, df, key in (("authors", authors, ["author_id"]), ("works", works, ["author_id", "work_id"])):
             cols = df.columns
@@ -31,16 +34,30 @@ def write_sqlite(authors: DataFrame, works: DataFrame, path: str) -> None:
         db.execute("create index authors_name on authors (author_name_latin)")
 
 
-def write_ntriples(triples: DataFrame, path: str) -> None:
-    lod.ntriples(triples).write.mode("overwrite").text(path)
+def write_ntriples(triples: DataFrame, path: str, comment: str | None = None) -> None:
+    """Lines of all triples; a comment goes into the first part file."""
+    lines = lod.ntriples(triples)
+    if comment:
+        lines = triples.sparkSession.createDataFrame([(f"# {comment}",)], "line string").coalesce(1).unionByName(lines)
+    lines.write.mode("overwrite").text(path)
+
+
+def write_json(documents: DataFrame, path: str) -> None:
+    """One JSON object of (author_id, node) documents, keyed by author; they stream to the driver in order."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("{")
+        for i, r in enumerate(documents.orderBy("author_id").toLocalIterator(prefetchPartitions=True)):
+            f.write((",\n" if i else "\n") + json.dumps(r["author_id"]) + ": " + r["node"])
+        f.write("\n}\n")
 
 
-def write_jsonld(nodes: DataFrame, path: str, context: dict) -> None:
-    """One document; nodes stream to the driver in order of author."""
+def write_jsonld(nodes: DataFrame, path: str, context: dict, head: list[dict] = ()) -> None:
+    """One document: the nodes of ``head`` (source and scheme), then authors, which stream to the driver in order."""
     with open(path, "w", encoding="utf-8") as f:
         f.write('{"@context": ' + json.dumps(context) + ', "@graph": [\n')
+        f.write(",\n".join(json.dumps(n, ensure_ascii=False) for n in head))
         for i, r in enumerate(nodes.orderBy("author_id").toLocalIterator()):
-            f.write((",\n" if i else "") + r["node"])
+            f.write((",\n" if i or head else "") + r["node"])
         f.write("\n]}\n")
 
 

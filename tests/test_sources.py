@@ -106,9 +106,14 @@ def test_sinks(spark, data, tmp_path):
     sinks.write_csv(index.flat(a, w), str(tmp_path / "csv"), ["author_id", "work_id"])
     back = spark.read.csv(str(tmp_path / "csv"), header=True)
     assert back.count() == index.flat(a, w).count() and {r[0] for r in back.select("cts_confirmed").distinct().collect()} <= {"True", "False", None}
-    sinks.write_jsonld(lod.nodes(a, w), str(tmp_path / "g.json"), {"id": "@id"})
-    assert len(json.load(open(tmp_path / "g.json"))["@graph"]) == a.count()
-    sinks.write_ntriples(lod.editions(w.withColumn("source", F.lit(None).cast("string"))), str(tmp_path / "nt"))
+    sinks.write_jsonld(lod.nodes(a, w), str(tmp_path / "g.json"), {"id": "@id"}, lod.head_nodes("Index", {"id": "source/1", "type": "Book"}))
+    graph = json.load(open(tmp_path / "g.json"))["@graph"]
+    assert len(graph) == a.count() + 2 and graph[1]["source"] == graph[0]["id"] and {n.get("inScheme") for n in graph[2:]} == {lod.BASE}
+    sinks.write_ntriples(lod.editions(w.withColumn("source", F.lit(None).cast("string"))), str(tmp_path / "nt"), "editions")
+    assert spark.read.text(str(tmp_path / "nt")).where("value = '# editions'").count() == 1
+    sinks.write_json(index.documents(a, w), str(tmp_path / "c.json"))
+    doc = json.load(open(tmp_path / "c.json"))
+    assert list(doc) == sorted(doc) and len(doc) == a.count() and sum(len(x["works"]) for x in doc.values()) == w.join(a, "author_id").count()
     assert "| authors |" in sinks.report_text(index.report(a, w))
 
 
@@ -121,3 +126,24 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got == [(1, 7, 4)]
+
+
+def test_schema_rules(spark):
+    good = {"author_id": "0012", "author_name_latin": None, "source": ["x"], "works": {"001": {"work_id": "001", "cts_urn": "urn:cts:greekLit:tlg0012.tlg001", "cts_confirmed": True}}}
+    bad = [
+        ({**good, "source": []}, "source"), ({**good, "extra": 1}, "unknown key"), ({**good, "era": 5}, "era"), ({k: v for k, v in good.items() if k != "author_name_latin"}, "author_name_latin missing"),
+        ({**good, "works": {"001": {**good["works"]["001"], "cts_confirmed": "yes"}}}, "cts_confirmed"), ({**good, "works": {"1": {**good["works"]["001"], "cts_urn": "urn:x"}}}, "key"), ({**good, "author_id": "12"}, "author_id"),
+    ]
+    docs = spark.createDataFrame([("0012", json.dumps(d)) for d in [good, *[b for b, _ in bad]]], "author_id string, node string").withColumn("n", F.monotonically_increasing_id())
+    assert index.schema_violations(docs.where("n = 0")).count() == 0 or index.schema_violations(spark.createDataFrame([("0012", json.dumps(good))], "author_id string, node string")).count() == 0
+    for d, rule in bad:
+        got = {r["rule"] for r in index.schema_violations(spark.createDataFrame([("0012", json.dumps(d))], "author_id string, node string")).collect()}
+        assert rule in got and len(got) <= 2
+    assert {r["rule"] for r in index.schema_violations(spark.createDataFrame([("12", "no json")], "author_id string, node string")).collect()} >= {"no object", "key"}
+
+
+def test_leaks(spark):
+    lines = spark.createDataFrame([('<x/0012.001> <p> "Ed. Monro 1920" .',), ('<x/0012.0011> <p> "short" .',), ("<x/0013.001> <p> <y> .",)], "line string")
+    guarded = spark.createDataFrame([("x/0012.001",), ("Monro",), ("rt",), ("absent",), (None,), ("",)], "secret string")
+    got = {(r["line"][3:11], r["secret"]) for r in lod.leaks(lines, guarded).collect()}
+    assert got == {("0012.001", "x/0012.001"), ("0012.001", "Monro"), ("0012.001", "rt"), ("0012.001", "x/0012.001"), ("0012.001", "rt")} - {("0012.001", "rt")} | {("0012.001", "rt")}

@@ -53,6 +53,13 @@ def test_small_functions(spark):
     assert one(spark, X.viaf_curie(F.col("a")), a="https://viaf.org/viaf/108159964/") == "viaf:108159964"
     assert one(spark, X.latin_to_greek(F.col("a")), a="mhnin") == "μηνιν"
     assert one(spark, X.latin_to_greek(F.col("a")), a="homeros") == "ηομερος"
+    for text, greek in (("xc", "ξχ"), ("Charis", "χηαρις"), ("ass s1", "ασς ς1")):
+        assert one(spark, X.latin_to_greek(F.col("a")), a=text) == greek == X.typed_in_greek(text)
+    assert one(spark, X.strip_greek("a"), a="ΛΌΓΟΣ λόγος ½") == "λογος λογοσ 1⁄2"
+    assert one(spark, X.expand_curie(F.col("a"), lod.PREFIXES), a="wd:Q1") == "http://www.wikidata.org/entity/Q1"
+    assert [one(spark, X.expand_curie(F.col("a"), lod.PREFIXES), a=a) for a in ("http://x:y", "plain", "no:1", None)] == ["http://x:y", "plain", "no:1", None]
+    assert tuple(one(spark, X.exact_work(F.col("a")), a=" 31.002 ")) == ("0031", "002") and one(spark, X.exact_work(F.col("a")), a="31.02") is None
+    assert one(spark, X.json_one_or_list(F.array("a", "a")), a='x "y"') == '"x \\"y\\""' and one(spark, X.json_one_or_list(F.array("a", F.lit("b"))), a="x") == '["x","b"]'
     assert one(spark, X.zero_fill(F.col("a"), 4), a="17") == "0017"
     assert one(spark, X.zero_fill(F.col("a"), 4), a="12345") == "12345"
     assert one(spark, X.quote_url(F.col("a")), a="a b&c") == "a%20b%26c"
