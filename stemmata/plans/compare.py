@@ -302,7 +302,9 @@ class Compare:
         cols = []
         for k in "ij":
             cols += [F.col(f"{c}_{k}") for c in ABOUT] + [F.col(f"label_{k}"), F.col(f"word_range_{k}"), F.array_join(f"tokens_{k}", " ")]
-        cols += [F.col(c) for c in ("score", "matched_words", "chain_len", "n_blocks", "n_chained", "snippet_i", "snippet_j")]
+        # numbers as people write them: no exponent, no zeros at the end
+        cols.append(F.regexp_replace(F.regexp_replace(F.col("score").cast("decimal(12,4)").cast("string"), "0+$", ""), "[.]$", ""))
+        cols += [F.col(c) for c in ("matched_words", "chain_len", "n_blocks", "n_chained", "snippet_i", "snippet_j")]
         cell = [F.translate(F.coalesce(c.cast("string"), F.lit("")), "\t", " ") for c in cols]
         return p.select("chain_len", "rank", F.concat_ws("\t", *cell).alias("line")).orderBy(F.desc("chain_len"), "rank")
 

@@ -145,5 +145,5 @@ def test_schema_rules(spark):
 def test_leaks(spark):
     lines = spark.createDataFrame([('<x/0012.001> <p> "Ed. Monro 1920" .',), ('<x/0012.0011> <p> "short" .',), ("<x/0013.001> <p> <y> .",)], "line string")
     guarded = spark.createDataFrame([("x/0012.001",), ("Monro",), ("rt",), ("absent",), (None,), ("",)], "secret string")
-    got = {(r["line"][3:11], r["secret"]) for r in lod.leaks(lines, guarded).collect()}
-    assert got == {("0012.001", "x/0012.001"), ("0012.001", "Monro"), ("0012.001", "rt"), ("0012.001", "x/0012.001"), ("0012.001", "rt")} - {("0012.001", "rt")} | {("0012.001", "rt")}
+    got = {(r["line"].split(">")[0][1:], r["secret"]) for r in lod.leaks(lines, guarded).collect()}
+    assert got == {("x/0012.001", "x/0012.001"), ("x/0012.001", "Monro"), ("x/0012.0011", "x/0012.001"), ("x/0012.0011", "rt")}
