@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -96,21 +96,40 @@ def author_table(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return authors, works
 
 
+#: Least signs of Greek words on a page of a text, and what stands before a reference in its links.
+LEAST_SIGNS, REFERENCE = 30, "Perseus%3Atext%3A"
+
+
+def hopper_candidates(works: DataFrame) -> DataFrame:
+    """(author_id, work_id, place, doc): documents to ask for, in order, each once.
+
+    ``works``: (author_id, work_id, greek_edition_urn or null).
+    """
+    work = X.urn(F.col("author_id"), F.col("work_id"))
+    docs = F.array_distinct(F.array_compact(F.array(X.blank_to_null(F.col("greek_edition_urn")), *[F.concat(work, F.lit(f".perseus-grc{k}")) for k in (1, 2, 3)], work)))
+    return works.select("author_id", "work_id", F.posexplode(docs).alias("place", "doc"))
+
+
+def hopper_texts(pages: DataFrame) -> DataFrame:
+    """(path, text): the words of a page, which stand in anchors of their own."""
+    words = elements(pages).where("tag = 'a' and class = 'text' and trim(text) <> ''")
+    per = words.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("w"))
+    return per.select("path", F.trim(F.regexp_replace(F.array_join("w", " "), X.SPACE, " ")).alias("text"))
+
+
 def hopper_sections(pages: DataFrame) -> DataFrame:
     """(path, text_id, index, book, chapter): passages of the text that a page refers to most.
 
-    Pages need at least 30 characters of word links with a Greek letter; ties of the text id
-    go to the one met first.
+    Pages need words of at least ``LEAST_SIGNS`` signs with a Greek letter; ties of the text
+    id go to the one met first.  References are URL-encoded: text, ``book=``, ``chapter=``.
     """
-    words = F.regexp_extract_all("value", F.lit(r'<a [^>]*class="text"[^>]*>([^<]*)</a>'), F.lit(1))
-    body = F.trim(F.regexp_replace(F.array_join(words, " "), r"(?U)\s+", " "))
-    ok = pages.where((F.length(body) >= 30) & body.rlike("[ἀ-῿]"))
-    ref = r"Perseus%3Atext%3A([0-9.]+)%3Abook%3D([0-9]+)%3Achapter%3D([0-9]+)"
-    parts = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(ref), F.lit(k)).alias(n) for k, n in ((1, "id"), (2, "b"), (3, "c"))])
-    refs = ok.select("path", F.posexplode(parts).alias("pos", "r")).select("path", "pos", F.col("r.id").alias("text_id"), F.col("r.b").cast("int").alias("book"), F.col("r.c").cast("int").alias("chapter"))
+    readable = hopper_texts(pages).where((F.length("text") >= LEAST_SIGNS) & F.col("text").rlike("[ἀ-῿]")).select("path")
+    pieces = pages.join(readable, "path", "left_semi").select("path", F.posexplode(F.split("value", REFERENCE)).alias("pos", "piece")).where("pos > 0")
+    decoded = F.try_url_decode(F.regexp_extract("piece", "^([0-9A-Za-z.%]*)", 1))
+    r = pieces.select("path", "pos", F.split(decoded, ":").alias("p")).where((F.size("p") >= 3) & F.col("p")[0].rlike("^[0-9.]+$") & F.col("p")[1].startswith("book=") & F.col("p")[2].startswith("chapter="))
+    number = lambda k, name: F.regexp_extract(F.col("p")[k], f"^{name}=([0-9]+)", 1)
+    refs = r.select("path", "pos", F.col("p")[0].alias("text_id"), F.try_to_number(number(1, "book"), F.lit("999999999")).cast("int").alias("book"), F.try_to_number(number(2, "chapter"), F.lit("999999999")).cast("int").alias("chapter")).where("book is not null and chapter is not null")
     per = refs.groupBy("path", "text_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     top = per.groupBy("path").agg(F.max_by("text_id", F.struct("n", (-F.col("first")).alias("f"))).alias("text_id"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path", "text_id").orderBy("book", "chapter")
     return refs.join(top, ["path", "text_id"]).select("path", "text_id", "book", "chapter").distinct().withColumn("index", F.row_number().over(w) - 1)

@@ -102,6 +102,38 @@ def read_tei_units(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_rows(numbered, ["path", "unit", "label", "text"], ["unit"]), UNITS)
 
 
+_CTS = "{http://chs.harvard.edu/xmlns/cts}"
+
+
+def passage_refs(text: str) -> list[tuple[int, str]]:
+    """(place, urn) of the valid references of a work; a broken answer has none."""
+    try:
+        return [(i, u.text) for i, u in enumerate(u for u in ET.fromstring(text).iter(f"{_CTS}urn") if u.text)]
+    except (ET.ParseError, TypeError, ValueError):
+        return []
+
+
+def passage_blocks(text: str) -> list[tuple]:
+    """(block_pos, kind, n, text) of a passage."""
+    try:
+        root = ET.fromstring(text)
+    except (ET.ParseError, TypeError, ValueError):
+        return []
+    blocks = [(_KINDS[e.tag], e.get("n") if e.tag == f"{_T}l" else None, _inner(e)) for e in root.iter() if e.tag in _KINDS]
+    return [(k, *b) for k, b in enumerate(b for b in blocks if b[2])]
+
+
+def read_passages(answers: DataFrame, passages: DataFrame) -> DataFrame:
+    """(path, sec_index, label, block_pos, kind, n, text) of works served passage by passage.
+
+    ``answers``: (path, value) lists of references; ``passages``: (path, value) with the
+    reference as path.  Passages that are missing or empty leave a gap in the index.
+    """
+    refs = answers.mapInPandas(_rows(passage_refs, ["path", "sec_index", "urn"], ["sec_index"]), "path string, sec_index int, urn string")
+    blocks = passages.mapInPandas(_rows(passage_blocks, ["urn", "block_pos", "kind", "n", "text"], ["block_pos"]), "urn string, block_pos int, kind string, n string, text string")
+    return refs.join(blocks, "urn").select("path", "sec_index", F.substring_index("urn", ":", -1).alias("label"), "block_pos", "kind", "n", "text")
+
+
 _NAME = T.ArrayType(T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_xml:lang", T.StringType())]))
 _EDITION = T.ArrayType(T.StructType([T.StructField("_urn", T.StringType()), T.StructField("ti:label", _NAME), T.StructField("ti:description", _NAME)]))
 _WORK = T.ArrayType(T.StructType([T.StructField("_urn", T.StringType()), T.StructField("ti:title", _NAME), T.StructField("ti:edition", _EDITION), T.StructField("ti:translation", _EDITION)]))

@@ -65,19 +65,19 @@ def test_inventory(spark, tmp_path):
 
 def test_lists(spark, tmp_path):
     md = "| 0012.001 |  | Ilias | x | y | z |\n| 0012.002 | Homer | Odyssea | urn:cts:greekLit:tlg0012.tlg002 | y | z |\n| 0012.001 | Z | Late | x | y | z |\nno\n"
-    a, w = files.work_list(spark, put(tmp_path, "l.md", md))
+    a, w = files.work_list(html.files(spark, put(tmp_path, "l.md", md)))
     assert rows(a, "author_id") == [("0012", "Homer")]
     assert rows(w, "work_id") == [("0012", "001", "Ilias", None), ("0012", "002", "Odyssea", "urn:cts:greekLit:tlg0012.tlg002")]
     tree = {"tree": [{"path": f"data/tlg0001/tlg001/{x}.xml"} for x in ("perseus-eng2", "perseus-grc2", "1st1K-grc1")] + [{"path": "data/tlg0001/tlg002/perseus-eng1.xml"}, {"path": "README"}]}
-    assert rows(files.repository_tree(spark, put(tmp_path, "t.json", json.dumps(tree))), "work_id") == [("0001", "001", "1st1K-grc1.xml")]
+    assert rows(files.repository_tree(html.files(spark, put(tmp_path, "t.json", json.dumps(tree)))), "work_id") == [("0001", "001", "1st1K-grc1.xml")]
 
 
 def test_bindings_and_overlay(spark, tmp_path):
     v = lambda **k: {n: {"value": x} for n, x in k.items()}
     b = {"results": {"bindings": [v(tlg="0012", qidStr="http://w/Q1", grcLabel="Ὅμηρος"), v(tlg="0012", qidStr="http://w/Q2"), v(tlg="0013", birth="-0484-01-01", death="-0425-01-01")]}}
-    got = {r["author_id"]: r for r in files.bindings(spark, put(tmp_path, "b.json", json.dumps(b))).collect()}
+    got = {r["author_id"]: r for r in files.bindings(html.files(spark, put(tmp_path, "b.json", json.dumps(b)))).collect()}
     assert got["0012"]["wikidata_qid"] == "Q1" and got["0013"]["era"] == "5th c. B.C."
-    o = files.overlay(spark, put(tmp_path, "o.json", json.dumps({"0012": {"works": {"001": {"title_english": "The Iliad"}}}})))
+    o = files.overlay(html.files(spark, put(tmp_path, "o.json", json.dumps({"0012": {"works": {"001": {"title_english": "The Iliad"}}}}))))
     assert rows(o.select("author_id", "work_id", "title_english"), "work_id") == [("0012", "001", "The Iliad")]
     base = spark.createDataFrame([("0012", "001", "Ilias", "Iliad", None, None, None, True)], "author_id string, work_id string, title_latin string, title_english string, title_greek string, edition string, cts_urn string, cts_confirmed boolean")
     once = index.upsert_works(base, o)
@@ -85,7 +85,7 @@ def test_bindings_and_overlay(spark, tmp_path):
     r = once.first()
     assert (r["title_english"], r["title_latin"], r["action"], r["source"]) == ("The Iliad", "Ilias", "patched", "local:curated") and once.exceptAll(twice).count() == 0
     text = {"title": "T", "sections": [{"index": 0, "label": "1", "blocks": [{"kind": "para", "text": "x"}]}]}
-    c = files.cached_texts(spark, put(tmp_path, "c.json", json.dumps(text))).select("sec_index", "label", "kind", "text")
+    c = files.cached_texts(html.files(spark, put(tmp_path, "c.json", json.dumps(text)))).select("sec_index", "label", "kind", "text")
     assert rows(c, "sec_index") == [(0, "1", "para", "x")]
     d = files.resolve([c.where("text = 'y'"), c, c.withColumn("text", F.lit("z"))], ["sec_index"])
     assert [(r["text"], r["tier"]) for r in d.collect()] == [("x", 1)]
@@ -93,7 +93,7 @@ def test_bindings_and_overlay(spark, tmp_path):
     assert [r["text"] for r in p.orderBy("block_pos").collect()] == ["one\ntwo", "three"]
     ar = put(tmp_path, "ar.json", json.dumps({"response": {"docs": [{"identifier": f"i{k}", "title": "t"} for k in range(9)]}}))
     wi = put(tmp_path, "wi.json", json.dumps({"query": {"search": [{"title": f"A {k}"} for k in range(9)]}}))
-    links = files.api_links(spark, ar, wi)
+    links = files.api_links(html.files(spark, ar), html.files(spark, wi))
     assert links.where("id = 'archive'").count() == 5 and links.where("url = 'https://texts.example/A_0'").count() == 1
 
 
@@ -147,3 +147,51 @@ def test_leaks(spark):
     guarded = spark.createDataFrame([("x/0012.001",), ("Monro",), ("rt",), ("absent",), (None,), ("",)], "secret string")
     got = {(r["line"].split(">")[0][1:], r["secret"]) for r in lod.leaks(lines, guarded).collect()}
     assert got == {("x/0012.001", "x/0012.001"), ("x/0012.001", "Monro"), ("x/0012.0011", "x/0012.001"), ("x/0012.0011", "rt")}
+
+
+def test_hopper_candidates_and_texts(spark):
+    w = spark.createDataFrame([("0012", "001", "urn:cts:greekLit:tlg0012.tlg001.perseus-grc2"), ("0012", "002", None)], "author_id string, work_id string, greek_edition_urn string")
+    got = [(r["work_id"], r["doc"].rsplit(".", 1)[-1]) for r in html.hopper_candidates(w).orderBy("work_id", "place").collect()]
+    assert got == [("001", x) for x in ("perseus-grc2", "perseus-grc1", "perseus-grc3", "tlg001")] + [("002", x) for x in ("perseus-grc1", "perseus-grc2", "perseus-grc3", "tlg002")]
+    p = spark.createDataFrame([("a", '<a class="text">μῆνιν</a> <a>no</a><a class="text"> </a><a class="text">ἄειδε</a>')], "path string, value string")
+    assert [tuple(r) for r in html.hopper_texts(p).collect()] == [("a", "μῆνιν ἄειδε")]
+
+
+def test_passages(spark):
+    refs = '<r xmlns="http://chs.harvard.edu/xmlns/cts"><urn>urn:x:1.1</urn><urn>urn:x:1.2</urn><urn>urn:x:1.3</urn><urn/></r>'
+    tei = '<p xmlns="http://www.tei-c.org/ns/1.0"><head>H</head><l n="7">one  two</l><l/></p>'
+    a = spark.createDataFrame([("w", refs), ("v", "<broken"), ("u", None)], "path string, value string")
+    p = spark.createDataFrame([("urn:x:1.1", tei), ("urn:x:1.3", tei), ("urn:x:1.2", "<x")], "path string, value string")
+    got = rows(xml.read_passages(a, p), "sec_index", "block_pos")
+    assert got == [("w", k, f"1.{k + 1}", b, *t) for k in (0, 2) for b, t in enumerate([("para", None, "H one two"), ("head", None, "H"), ("line", "7", "one two")])]
+
+
+def test_tiers(spark):
+    t = "author_id string, work_id string, label string, text string"
+    local = spark.createDataFrame([("0001", "001", "1", "here")], t)
+    tei = TEI + "<!-- " + "x" * 200 + " -->"
+    repo = spark.createDataFrame([("0001", "001", "p1", tei), ("0002", "001", "p2", tei), ("0003", "001", "p3", "<TEI/>")], "author_id string, work_id string, path string, value string")
+    page = spark.createDataFrame([("0003", "001", "1.1", "page"), ("0002", "001", "1.1", "page")], t)
+    got = files.work_texts(local, repo, page.limit(0), page).orderBy("author_id", "label").collect()
+    assert [(r["author_id"], r["label"], r["tier"]) for r in got] == [("0001", "1", 0), ("0002", "1.2", 1), ("0002", "1.?", 1), ("0002", "3", 1), ("0003", "1.1", 3)]
+
+
+def test_corpus_texts(spark):
+    j = {"sections": [{"index": 0, "label": "1", "blocks": [{"text": "a"}, {"kind": "x"}, {"text": "b"}]}]}
+    p = spark.createDataFrame([("a.xml", TEI), ("b.json", json.dumps(j)), ("c.json", json.dumps({"blocks": [{"text": "c"}]})), ("d.txt", "plain"), ("e.txt", ""), ("f.json", "no"), ("g.xml", "<"), ("h.md", "x")], "path string, value string")
+    assert rows(files.corpus_texts(p), "path") == [("a.xml", "H on e two three four"), ("b.json", "a  b"), ("c.json", "c"), ("d.txt", "plain")]
+
+
+def test_build(spark, tmp_path):
+    page = lambda name, text: html.files(spark, put(tmp_path, name, text))
+    from stemmata.plans.build import build_index
+
+    a, w = build_index(
+        spark, classic=page("a.html", "<ul><li>0012 Homerus Epic.</li></ul>"), listed=page("l.md", "| 0012.001 | Homer | Ilias | x | y | z |\n| 0099.001 | New | Old | x | y | z |\n"),
+        graph=page("b.json", json.dumps({"results": {"bindings": [{"tlg": {"value": "0012"}, "grcLabel": {"value": "Ὅμηρος"}}, {"tlg": {"value": "5555"}}]}})),
+        curated=page("o.json", json.dumps({"0012": {"works": {"001": {"title_english": "Iliad"}, "002": {"title_latin": "Odyssea"}}}})))
+    got = {r["author_id"]: r for r in a.collect()}
+    assert set(got) == {"0012", "0099"} and got["0012"]["author_name_greek"] == "Ὅμηρος" and got["0012"]["epitheton"] == "Epic." and got["0012"]["author_name_english"] == "Homer"
+    assert {(r["author_id"], r["work_id"], r["title_latin"], r["title_english"], r["action"]) for r in w.collect()} == {("0012", "001", "Ilias", "Iliad", "patched"), ("0012", "002", "Odyssea", None, "added"), ("0099", "001", "Old", None, "kept")}
+    a, w = build_index(spark)
+    assert a.count() == 0 and w.count() == 0
