@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from .plans import compare_queries, export_queries, index_queries
+    from .plans import compare_queries, export_queries, index_queries, reader_queries
 
-    return [compare_queries, index_queries, export_queries]
+    return [compare_queries, index_queries, export_queries, reader_queries]
 
 
 def queries() -> dict:

@@ -1,7 +1,8 @@
 """Lists, trees, bindings and plain texts as rows.
 
 Readers take rows (path, value) of whole files, as ``html.files`` gives them, so that cached
-pages in a table are read the same way as files in a folder.
+pages in a table are read the same way as files in a folder.  Lists are exploded by the
+outer form and empty ones dropped after it, so that no page is parsed twice for a filter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def work_list(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     A row has six cells, of which the first three are the number ``NNNN.NNN``, the author and
     the title; none of these is without a character.
     """
-    lines = pages.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "v"))
+    lines = pages.select("path", F.posexplode_outer(F.split("value", "\r?\n")).alias("pos", "v"))
     r = lines.select("path", "pos", "v", F.split(F.rtrim("v"), "[|]").alias("c")).where("size(c) = 8 and c[0] = '' and c[7] = '' and c[2] <> '' and c[3] <> ''")
     r = r.withColumn("id", F.split(F.trim(F.col("c")[1]), "[.]")).where(F.size("id") == 2)
     r = r.where(_digits(F.col("id")[0], 4) & _digits(F.col("id")[1], 3))
@@ -48,7 +49,7 @@ def repository_tree(pages: DataFrame) -> DataFrame:
     come first, by family and place; else the first file that is not English; works with
     English files only are left out.
     """
-    tree = pages.select("path", F.from_json("value", "tree array<struct<path:string>>").alias("j")).select("path", F.posexplode("j.tree").alias("pos", "t"))
+    tree = pages.select("path", F.from_json("value", "tree array<struct<path:string>>").alias("j")).select("path", F.posexplode_outer("j.tree").alias("pos", "t"))
     part = lambda k: F.col("p")[k]
     number = lambda k, n: part(k).startswith("tlg") & _digits(F.substring(part(k), 4, 99), n)
     r = tree.withColumn("p", F.split("t.path", "/")).where((F.size("p") == 4) & (part(0) == "data") & part(3).endswith(".xml") & (F.length(part(3)) > 4)).where(number(1, 4) & number(2, 3))
@@ -60,7 +61,7 @@ def repository_tree(pages: DataFrame) -> DataFrame:
 
 def bindings(pages: DataFrame) -> DataFrame:
     """Authors of cached results of bindings; of several rows the last that says anything wins, else the first."""
-    b = pages.select("path", F.from_json("value", BINDINGS).alias("j")).select("path", F.posexplode("j.results.bindings").alias("pos", "b"))
+    b = pages.select("path", F.from_json("value", BINDINGS).alias("j")).select("path", F.posexplode_outer("j.results.bindings").alias("pos", "b"))
     v = lambda n: X.blank_to_null(F.col(f"b.{n}.value"))
     r = b.select(
         F.struct("path", "pos").alias("at"), v("tlg").alias("author_id"), X.blank_to_null(F.regexp_extract(F.coalesce(v("qidStr"), F.lit("")), "([^/]*)$", 1)).alias("wikidata_qid"), v("viaf").alias("viaf_id"), v("grcLabel").alias("greek"),
@@ -75,15 +76,15 @@ def bindings(pages: DataFrame) -> DataFrame:
 def plain_blocks(pages: DataFrame) -> DataFrame:
     """(path, block_pos, text): paragraphs of plain texts between blank lines."""
     parts = F.filter(F.transform(F.split("value", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
-    return pages.select("path", F.posexplode(parts).alias("block_pos", "text"))
+    return pages.select("path", F.posexplode_outer(parts).alias("block_pos", "text")).where("block_pos is not null")
 
 
 def overlay(pages: DataFrame) -> DataFrame:
     """Works of curation overlays ``{author: {works: {work: {...}}}}``."""
     work = "struct<title_latin:string,title_english:string,title_greek:string,cts_urn:string,cts_confirmed:boolean,edition:string,source:string>"
     raw = pages.select(F.from_json("value", f"map<string,struct<works:map<string,{work}>>>").alias("m"))
-    a = raw.select(F.explode("m").alias("author_id", "a"))
-    return a.select("author_id", F.explode("a.works").alias("work_id", "w")).select("author_id", "work_id", "w.*")
+    a = raw.select(F.explode_outer("m").alias("author_id", "a"))
+    return a.select("author_id", F.explode_outer("a.works").alias("work_id", "w")).where("work_id is not null").select("author_id", "work_id", "w.*")
 
 
 _TEXT = "title string, sections array<struct<index:int,label:string,blocks:array<struct<kind:string,n:string,text:string>>>>, blocks array<struct<kind:string,n:string,text:string>>"
@@ -91,8 +92,8 @@ _TEXT = "title string, sections array<struct<index:int,label:string,blocks:array
 
 def cached_texts(pages: DataFrame) -> DataFrame:
     """Blocks of parsed texts kept as JSON, with their titles."""
-    d = pages.select("path", F.from_json("value", _TEXT).alias("j")).select("path", "j.title", F.explode("j.sections").alias("s"))
-    return d.select("path", "title", F.col("s.index").alias("sec_index"), "s.label", F.posexplode("s.blocks").alias("block_pos", "b")).select("path", "title", "sec_index", "label", "block_pos", "b.*")
+    d = pages.select("path", F.from_json("value", _TEXT).alias("j")).select("path", "j.title", F.explode_outer("j.sections").alias("s"))
+    return d.select("path", "title", F.col("s.index").alias("sec_index"), "s.label", F.posexplode_outer("s.blocks").alias("block_pos", "b")).where("block_pos is not null").select("path", "title", "sec_index", "label", "block_pos", "b.*")
 
 
 def corpus_texts(pages: DataFrame) -> DataFrame:
@@ -138,9 +139,9 @@ def work_texts(local: DataFrame, repository: DataFrame, passages: DataFrame, pag
 def api_links(archive: DataFrame, wiki: DataFrame) -> DataFrame:
     """Links found by cached answers (path, value) of two search services: at most five scans and four pages of an answer."""
     docs = archive.select("path", F.from_json("value", "response struct<docs:array<struct<identifier:string,title:string,date:string>>>").alias("j"))
-    a = docs.select("path", F.posexplode("j.response.docs").alias("p", "d")).where("p < 5 and d.identifier is not null").select(
+    a = docs.select("path", F.posexplode_outer("j.response.docs").alias("p", "d")).where("p < 5 and d.identifier is not null").select(
         "path", F.lit("archive").alias("id"), F.substring(F.coalesce("d.title", F.lit("Scan")), 1, 120).alias("label"), F.lit(5).alias("link_rank"), F.lit("scan").alias("link_type"), F.concat(F.lit("https://scans.example/"), "d.identifier").alias("url"), F.coalesce("d.date", F.lit("")).alias("detail"))
     hits = wiki.select("path", F.from_json("value", "query struct<search:array<struct<title:string>>>").alias("j"))
-    w = hits.select("path", F.posexplode("j.query.search").alias("p", "h")).where("p < 4").select(
+    w = hits.select("path", F.posexplode_outer("j.query.search").alias("p", "h")).where("p < 4").select(
         "path", F.lit("wiki").alias("id"), F.col("h.title").alias("label"), F.lit(4).alias("link_rank"), F.lit("text").alias("link_type"), F.concat(F.lit("https://texts.example/"), X.quote_url(F.replace("h.title", F.lit(" "), F.lit("_")))).alias("url"), F.lit("").alias("detail"))
     return a.unionByName(w)
