@@ -278,13 +278,56 @@ def may_align(pairs: DataFrame, left: DataFrame, right: DataFrame, units: tuple[
     distance from below, so exact distances are needed only where a whole run may hold.  A
     unit travels once to each tile it has a pair in, not once per pair.
     """
+    rows = _sent(pairs, left, right, units, {"words": "array<string>"})
+    return rows.mapInArrow(_runs(threshold, run_length), "i long, j long")
+
+
+def _sent(pairs: DataFrame, left: DataFrame, right: DataFrame, units: tuple[int, int], columns: dict[str, str]) -> DataFrame:
+    """Rows (lb, rb, kind, a, b, columns) of tiles: kind 0 left units, 1 right units, 2 the pairs, in this order."""
     nl, nr = map(blocks, units)
     p = cut(pairs.select("i", "j", block_of("i", nl).alias("lb"), block_of("j", nr).alias("rb")))
-    none = F.lit(None).cast("array<string>")
+    no = F.lit(None).cast("long").alias("b")
     parts = [
-        p.select("i", "lb", "rb").distinct().join(left, "i").select("lb", "rb", F.lit(0).alias("kind"), F.col("i").alias("a"), F.lit(None).cast("long").alias("b"), F.col("words")),
-        p.select("j", "lb", "rb").distinct().join(right, "j").select("lb", "rb", F.lit(1).alias("kind"), F.col("j").alias("a"), F.lit(None).cast("long").alias("b"), F.col("words")),
-        p.select("lb", "rb", F.lit(2).alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"), none.alias("words")),
+        p.select("i", "lb", "rb").distinct().join(left, "i").select("lb", "rb", F.lit(0).alias("kind"), F.col("i").alias("a"), no, *columns),
+        p.select("j", "lb", "rb").distinct().join(right, "j").select("lb", "rb", F.lit(1).alias("kind"), F.col("j").alias("a"), no, *columns),
+        p.select("lb", "rb", F.lit(2).alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"), *[F.lit(None).cast(t).alias(c) for c, t in columns.items()]),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("lb", "rb").sortWithinPartitions("lb", "rb", "kind", "a")
-    return rows.mapInArrow(_runs(threshold, run_length), "i long, j long")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("lb", "rb").sortWithinPartitions("lb", "rb", "kind", "a")
+
+
+def _dots(batches):
+    for _, _, kind, a, b, keys, ws in _tiles(batches, None):
+        kind, a, b = kind.to_numpy(zero_copy_only=False), a.to_numpy(zero_copy_only=False), pc.fill_null(b, 0).to_numpy(zero_copy_only=False)
+        offs = keys.offsets.to_numpy()
+        offs = offs - offs[0]
+        key, w = keys.flatten().to_numpy(zero_copy_only=False), ws.flatten().to_numpy(zero_copy_only=False)
+        span = [dict(zip(a[kind == s].tolist(), zip(offs[:-1][kind == s].tolist(), offs[1:][kind == s].tolist()))) for s in (0, 1)]
+        pairs = np.flatnonzero(kind == 2)
+        left, right = a[pairs], b[pairs]
+        cuts = np.concatenate([[0], np.flatnonzero(left[1:] != left[:-1]) + 1, [len(left)]]) if len(left) else np.zeros(1, np.int64)
+        dot = np.zeros(len(left))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = span[0].get(int(left[s]))
+            if own is None:
+                continue
+            k, x = key[own[0] : own[1]], w[own[0] : own[1]]
+            for part in range(s, e, 256):  # that many partners together
+                ends = [span[1].get(int(j), (0, 0)) for j in right[part : min(e, part + 256)].tolist()]
+                other = np.concatenate([key[f:t] for f, t in ends])
+                at = np.searchsorted(k, other)
+                at[at == len(k)] = 0
+                hit = np.flatnonzero(k[at] == other) if len(k) else np.zeros(0, np.int64)
+                who = np.repeat(np.arange(len(ends)), [t - f for f, t in ends])
+                y = np.concatenate([w[f:t] for f, t in ends])
+                dot[part : part + len(ends)] = np.bincount(who[hit], x[at[hit]] * y[hit], len(ends))
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(dot)], names=["i", "j", "dot"])
+
+
+def dots(pairs: DataFrame, left: DataFrame, right: DataFrame, units: tuple[int, int]) -> DataFrame:
+    """(i, j, dot) of given pairs: sums of products of the weights of common keys.
+
+    ``left``: (i, keys, ws), ``right``: (j, keys, ws) with sorted keys.  The work grows with
+    the pairs, however frequent a key is; a unit travels once to each tile it has a pair in.
+    """
+    return _sent(pairs, left, right, units, {"keys": "array<long>", "ws": "array<double>"}).mapInArrow(_dots, "i long, j long, dot double")

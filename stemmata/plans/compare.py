@@ -148,14 +148,11 @@ class Compare:
         parts = whole.unionByName(self.weights().select("side", "unit", F.col("less").alias("part")))
         return parts.groupBy("side", "unit").agg(F.sqrt(F.sum("part")).alias("norm"))
 
-    def _products(self) -> DataFrame:
-        """(i, j, cosine) of every pair with a common gram."""
-        w = self.weights()
-        left, right = (w.where(f"side = {n}").select(F.col("unit").alias(k), "key", "w") for n, k in ((1, "i"), (2, "j")))
-        size = self.norms()
+    def _over_sizes(self, dot: DataFrame) -> DataFrame:
+        """(i, j, cosine) of (i, j, dot)."""
+        size = cut(self.norms())
         si = size.where("side = 1").select(F.col("unit").alias("i"), F.col("norm").alias("si"))
         sj = size.where("side = 2").select(F.col("unit").alias("j"), F.col("norm").alias("sj"))
-        dot = tiles.in_common(left, right, self._sizes())
         return dot.join(si, "i").join(sj, "j").select("i", "j", (F.col("dot") / (F.col("si") * F.col("sj"))).alias("cosine"))
 
     def scored(self) -> DataFrame:
@@ -163,14 +160,22 @@ class Compare:
         return self._once("scored", self._scored)
 
     def _scored(self) -> DataFrame:
-        return self.candidates().join(self._products(), ["i", "j"], "left").select("i", "j", "shared", "rank", F.coalesce("cosine", F.lit(0.0)).alias("score"))
+        c = self.candidates()
+        listed = F.sort_array(F.collect_list(F.struct("key", "w")))
+        units = self.weights().groupBy("side", "unit").agg(listed.alias("l")).select("side", "unit", F.col("l.key").alias("keys"), F.col("l.w").alias("ws"))
+        units = cut(units)
+        left, right = (units.where(f"side = {n}").select(F.col("unit").alias(k), "keys", "ws") for n, k in ((1, "i"), (2, "j")))
+        cosine = self._over_sizes(tiles.dots(c, left, right, self._sizes()))
+        return c.join(cosine, ["i", "j"], "left").select("i", "j", "shared", "rank", F.coalesce("cosine", F.lit(0.0)).alias("score"))
 
     def chosen(self) -> DataFrame:
         return self.scored().where(F.col("score") >= self.p.similarity_threshold)
 
     def all_pairs(self) -> DataFrame:
         """(i, j, score) of every pair with a common gram: the exhaustive mode."""
-        return self._products().withColumnRenamed("cosine", "score")
+        w = self.weights()
+        left, right = (w.where(f"side = {n}").select(F.col("unit").alias(k), "key", "w") for n, k in ((1, "i"), (2, "j")))
+        return self._over_sizes(tiles.in_common(left, right, self._sizes())).withColumnRenamed("cosine", "score")
 
     def vocabulary(self) -> DataFrame:
         """(vocab_size): distinct words, or subwords, that take part in the scores."""
