@@ -195,3 +195,14 @@ def test_build(spark, tmp_path):
     assert {(r["author_id"], r["work_id"], r["title_latin"], r["title_english"], r["action"]) for r in w.collect()} == {("0012", "001", "Ilias", "Iliad", "patched"), ("0012", "002", "Odyssea", None, "added"), ("0099", "001", "Old", None, "kept")}
     a, w = build_index(spark)
     assert a.count() == 0 and w.count() == 0
+
+
+def test_fetch(spark, tmp_path):
+    from stemmata.sources.fetch import fetch
+
+    page = put(tmp_path, "page.html", "<p>ἄνδρα</p>" + "x" * 300)
+    short = put(tmp_path, "short.html", "no")
+    a = spark.createDataFrame([("a", f"file://{page}"), ("b", f"file://{short}"), ("c", f"file://{page}.gone"), ("d", None), ("e", "no address")], "path string, url string").coalesce(1)
+    got = rows(fetch(a, str(tmp_path / "cache"), least_bytes=200), "path")
+    assert [(p, s) for p, _, s in got] == [("a", "fetched"), ("b", "failed"), ("c", "failed"), ("d", "failed"), ("e", "failed")] and got[0][1].startswith("<p>ἄνδρα") and got[1][1] is None
+    assert rows(fetch(a, str(tmp_path / "cache"), least_bytes=200), "path")[0][2] == "cached"
