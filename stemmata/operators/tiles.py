@@ -33,7 +33,18 @@ def block_of(unit: str, n: int) -> Column:
     return F.pmod(F.xxhash64(unit), F.lit(n)).cast("int")
 
 
-def _tiles(batches, names):
+def _by_tile(df: DataFrame, tiles: int, *order: str) -> DataFrame:
+    """Rows (lb, rb, ...) with whole tiles in tasks, in the given order.
+
+    The number of tasks is given, as the optimiser would join small ones by their bytes and
+    leave cores idle, while a tile's work is in its pairs.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tiles, 4 * spark.sparkContext.defaultParallelism))
+    return df.repartition(tasks, "lb", "rb").sortWithinPartitions("lb", "rb", *order)
+
+
+def _tiles(batches):
     """Columns of whole tiles from batches sorted by their first two columns."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -106,7 +117,7 @@ def _sum(left_unit, left_key, left_w, right_unit, right_key, right_w, least: int
 
 def _counter(least: int):
     def run(batches):
-        for _, _, key, side, unit, w in _tiles(batches, None):
+        for _, _, key, side, unit, w in _tiles(batches):
             key, side, unit, w = (c.to_numpy(zero_copy_only=False) for c in (key, side, unit, w))
             a, b = side == 1, side == 2
             yield from _sum(unit[a], key[a], w[a], unit[b], key[b], w[b], least)
@@ -132,8 +143,8 @@ def in_common(left: DataFrame, right: DataFrame, units: tuple[int, int], least:
     places = rows.select("key", "side", "own").distinct().groupBy("key").agg(there(1).alias("lefts"), there(2).alias("rights"))
     sent = rows.join(places, "key").select("key", "side", "unit", "w", "own", F.explode(F.when(F.col("side") == 1, F.col("rights")).otherwise(F.col("lefts"))).alias("other"))
     lb, rb = (F.when(F.col("side") == s, F.col("own")).otherwise(F.col("other")) for s in (1, 2))
-    tiled = sent.select(lb.alias("lb"), rb.alias("rb"), "key", "side", "unit", "w").repartition("lb", "rb").sortWithinPartitions("lb", "rb", "key")
-    return tiled.mapInArrow(_counter(least), "i long, j long, shared long, dot double")
+    tiled = sent.select(lb.alias("lb"), rb.alias("rb"), "key", "side", "unit", "w")
+    return _by_tile(tiled, nl * nr, "key").mapInArrow(_counter(least), "i long, j long, shared long, dot double")
 
 
 # -- pairs that may hold a run of similar words
@@ -262,7 +273,7 @@ def _runs(threshold: float, run_length: int):
         return left[hit], right[hit]
 
     def run(batches):
-        for _, _, kind, a, b, words in _tiles(batches, None):
+        for _, _, kind, a, b, words in _tiles(batches):
             i, j = tile(kind.to_numpy(zero_copy_only=False), a.to_numpy(zero_copy_only=False), pc.fill_null(b, 0).to_numpy(zero_copy_only=False), words)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["i", "j"])
@@ -292,11 +303,11 @@ def _sent(pairs: DataFrame, left: DataFrame, right: DataFrame, units: tuple[int,
         p.select("j", "lb", "rb").distinct().join(right, "j").select("lb", "rb", F.lit(1).alias("kind"), F.col("j").alias("a"), no, *columns),
         p.select("lb", "rb", F.lit(2).alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"), *[F.lit(None).cast(t).alias(c) for c, t in columns.items()]),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("lb", "rb").sortWithinPartitions("lb", "rb", "kind", "a")
+    return _by_tile(parts[0].unionByName(parts[1]).unionByName(parts[2]), nl * nr, "kind", "a")
 
 
 def _dots(batches):
-    for _, _, kind, a, b, keys, ws in _tiles(batches, None):
+    for _, _, kind, a, b, keys, ws in _tiles(batches):
         kind, a, b = kind.to_numpy(zero_copy_only=False), a.to_numpy(zero_copy_only=False), pc.fill_null(b, 0).to_numpy(zero_copy_only=False)
         offs = keys.offsets.to_numpy()
         offs = offs - offs[0]

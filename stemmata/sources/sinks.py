@@ -17,21 +17,21 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).select(*cols).write.mode("overwrite").csv(path, header=True)
 
 
-def write_sqlite(authors: DataFrame, works: DataFrame, path: str) -> None:
+def write_sqlite(authors: DataFrame, works: DataFrame, path: str, name: str = "author_name_latin") -> None:
     """Tables authors and works, dropped and made anew; rows arrive partition by partition.
 
     One writer on the driver, as SQLite has; meant for an index of authors, not for texts.
     """
     with sqlite3.connect(path) as db:
-        for name, df, key in (("authors", authors, ["author_id"]), ("works", works, ["author_id", "work_id"])):
+        for table, df, key in (("authors", authors, ["author_id"]), ("works", works, ["author_id", "work_id"])):
             cols = df.columns
-            db.execute(f"drop table if exists {name}")
-            db.execute(f"create table {name} ({', '.join(cols)}, primary key ({', '.join(key)}))")
+            db.execute(f"drop table if exists {table}")
+            db.execute(f"create table {table} ({', '.join(cols)}, primary key ({', '.join(key)}))")
             marks = ", ".join("?" * len(cols))
             rows = (tuple(";".join(v) if isinstance(v, list) else v for v in r) for r in df.toLocalIterator(prefetchPartitions=True))
-            db.executemany(f"insert into {name} values ({marks})", rows)
+            db.executemany(f"insert into {table} values ({marks})", rows)
         db.execute("create index works_author on works (author_id)")
-        db.execute("create index authors_name on authors (author_name_latin)")
+        db.execute(f"create index authors_name on authors ({name})")
 
 
 def write_ntriples(triples: DataFrame, path: str, comment: str | None = None) -> None:
