@@ -124,3 +124,50 @@ def test_windowed_counts(spark, tmp_path):
         got[str(r["start"])[:10], r["event_type"], r["n"]] += r["total"]
     q.stop()
     assert got == {("2024-01-01", "a", 2): 3.0, ("2024-01-02", "b", 1): 4.0, ("2024-01-05", "a", 1): 8.0}
+
+
+@pytest.mark.parametrize("threshold,ngram,n_out", [(0.75, 4, 1), (0.5, 2, 0), (0.9, 3, 2), (0.8, 5, 1)])
+def test_bands_against_loops(spark, monkeypatch, threshold, ngram, n_out):
+    """Bands and parts so small that many arise: candidates with ranks, runs, blocks and kept blocks as plain loops have them."""
+    from stemmata.operators import bands
+
+    for name, value in (("BAND_UNITS", 5), ("PART_UNITS", 4), ("TOGETHER", 2), ("LEAST_UNITS", 3), ("JOINED", 20), ("PACKED", 3), ("OUT_ROWS", 7), ("ALIGNED", 2), ("GRAM_UNITS", 3)):
+        monkeypatch.setattr(bands, name, value)
+    r = random.Random(5)
+    stock = ["λόγος", "λόγου", "λόγον", "ab", "abc", "b", "ποταμος", "ποταμον", "x" * 40, "x" * 34 + "y" * 6]
+    text = lambda: " ".join(r.choice(stock) for _ in range(r.randint(0, 12)))
+    ls, rs = [text() for _ in range(14)] + [" ".join(r.choice(stock) for _ in range(150))], [text() for _ in range(60)]
+    c = Compare(side(spark, *ls), side(spark, *rs), Params(max_candidates=None, cap_words=None, min_shared=2, fuzz_threshold=threshold, ngram=ngram, n_out=n_out))
+    grams = lambda t: set(zip(t.split(), t.split()[1:]))
+    often = {g for t in rs for g in grams(t) if sum(g in grams(x) for x in rs) > 40}
+    want = [(i, j, len((grams(x) & grams(y)) - often)) for i, x in enumerate(ls) for j, y in enumerate(rs)]
+    want = sorted((w for w in want if w[2] >= 2), key=lambda w: (-w[2], w[0], w[1]))
+    assert sorted((g["rank"], g["i"], g["j"], g["shared"]) for g in c.candidates().collect()) == [(k, *w) for k, w in enumerate(want, 1)]
+    runs, blocks, kept = set(), set(), set()
+    for i, j, _ in want:
+        x, y = ls[i].split(), rs[j].split()
+        own = []
+        for d in range(-len(x), len(y)):
+            places = [p for p in range(len(x)) if 0 <= p + d < len(y) and (x[p] == y[p + d] or alike(x[p], y[p + d], threshold))]
+            ends: list[list[int]] = []
+            for p in places:
+                if ends and ends[-1][1] == p:
+                    ends[-1][1] += 1
+                else:
+                    ends.append([p, p + 1])
+            own += [(d, a, b - a) for a, b in ends]
+        if not any(n >= ngram for _, _, n in own):
+            continue
+        runs |= {(i, j, *o) for o in own}
+        fused: list[list] = []
+        for d, a, n in sorted(own):
+            if fused and fused[-1][0] == d and a - fused[-1][4] <= n_out:
+                fused[-1] = [d, fused[-1][1], fused[-1][2] + n, max(fused[-1][3], n), a + n]
+            else:
+                fused.append([d, a, n, n, a + n])
+        blocks |= {(i, j, *f[:4]) for f in fused}
+        kept |= {(i, j, *f[:4], len(fused)) for f in fused if f[3] >= ngram and f[2] >= 2}
+    assert runs and {tuple(g) for g in c.runs().collect()} == runs
+    assert {tuple(g) for g in c.blocks().drop("runs").collect()} == blocks
+    assert {tuple(g) for g in c.kept().select("i", "j", "d", "a", "n", "core", "n_blocks").collect()} == kept
+    assert {tuple(g) for g in c.aligned().collect()} == {b[:2] for b in blocks}
