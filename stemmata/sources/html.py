@@ -43,6 +43,16 @@ class _Rows(HTMLParser):
             self.rows[self.open[-1]]["lead"].append(data)
 
 
+#: Rows of elements handed on together, about, so that a batch of many pages is never held as a whole.
+FRAME_ROWS = 20_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    df = pd.DataFrame(rows, columns=["path", "pos", "parent", "tag", "class", "attrs", "text", "lead"])
+    df["parent"] = df["parent"].astype("Int32")
+    return df
+
+
 def _parse(batches):
     for pdf in batches:
         out = []
@@ -51,9 +61,10 @@ def _parse(batches):
             p.feed(page or "")
             p.close()
             out += [(path, i, r["parent"], r["tag"], r["class"], r["attrs"], " ".join(r["parts"]).strip(), " ".join(r["lead"]).strip()) for i, r in enumerate(p.rows)]
-        df = pd.DataFrame(out, columns=["path", "pos", "parent", "tag", "class", "attrs", "text", "lead"])
-        df["parent"] = df["parent"].astype("Int32")
-        yield df
+            if len(out) >= FRAME_ROWS:
+                yield _frame(out)
+                out = []
+        yield _frame(out)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

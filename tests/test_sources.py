@@ -206,3 +206,11 @@ def test_fetch(spark, tmp_path):
     got = rows(fetch(a, str(tmp_path / "cache"), least_bytes=200), "path")
     assert [(p, s) for p, _, s in got] == [("a", "fetched"), ("b", "failed"), ("c", "failed"), ("d", "failed"), ("e", "failed")] and got[0][1].startswith("<p>ἄνδρα") and got[1][1] is None
     assert rows(fetch(a, str(tmp_path / "cache"), least_bytes=200), "path")[0][2] == "cached"
+
+
+def test_elements_of_many_pages_come_in_bounded_frames():
+    import pandas as pd
+
+    page = "<p>" + "<a class='text'>x</a>" * 999 + "</p>"
+    frames = list(html._parse(iter([pd.DataFrame({"path": [str(k) for k in range(100)], "value": [page] * 100})])))
+    assert sum(map(len, frames)) == 100_000 and max(map(len, frames)) <= 21_000
