@@ -171,3 +171,9 @@ def test_bands_against_loops(spark, monkeypatch, threshold, ngram, n_out):
     assert {tuple(g) for g in c.blocks().drop("runs").collect()} == blocks
     assert {tuple(g) for g in c.kept().select("i", "j", "d", "a", "n", "core", "n_blocks").collect()} == kept
     assert {tuple(g) for g in c.aligned().collect()} == {b[:2] for b in blocks}
+
+
+def test_threshold_leaves_pairs_out_of_the_alignment(spark):
+    left, right = side(spark, "a b c d x e f", "q r s t u v w"), side(spark, "a b c d y g h", "q r s t u v w")
+    assert {(g["i"], g["j"]) for g in Compare(left, right, Params(similarity_threshold=0.9)).pairs().collect()} == {(1, 1)}
+    assert Compare(left, right, Params()).aligned().count() == 2
