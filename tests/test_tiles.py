@@ -177,3 +177,17 @@ def test_threshold_leaves_pairs_out_of_the_alignment(spark):
     left, right = side(spark, "a b c d x e f", "q r s t u v w"), side(spark, "a b c d y g h", "q r s t u v w")
     assert {(g["i"], g["j"]) for g in Compare(left, right, Params(similarity_threshold=0.9)).pairs().collect()} == {(1, 1)}
     assert Compare(left, right, Params()).aligned().count() == 2
+
+
+def test_candidates_write_hashes_only(spark):
+    rng = random.Random(5)
+    make = lambda n: spark.createDataFrame([(u, "", w, w) for u in range(n) for w in [[f"word{rng.randrange(60)}" for _ in range(30)]]], "unit long, label string, orig array<string>, norm array<string>")
+    left, right = make(700).persist(), make(600).persist()
+    whole = Compare(left, right).candidates().collect()
+    before = shared.written(spark)
+    lean = Compare(Side(left, whole=False), Side(right, whole=False))
+    got = lean.candidates().collect()
+    assert whole and sorted(got) == sorted(whole)
+    assert shared.written(spark) - before == 3  # hashes of the left side, index of the right one, pairs
+    assert [f.dataType.simpleString() for f in spark.read.parquet(lean.sides[0].stored(True)).drop("block").schema] == ["bigint", "array<bigint>"]
+    assert spark.read.parquet(lean.sides[0].stored(True)).select("block").distinct().count() > 1
