@@ -7,8 +7,9 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from stemmata.operators import subwords, units
+from stemmata.operators import shared, subwords, units
 from stemmata.plans import compare_queries
 from stemmata.plans.compare import Compare
 from stemmata.plans.params import Params
@@ -175,3 +176,16 @@ def test_corpus_units_keep_all_words(spark, tmp_path):
     assert compare_queries.vocab_size(spark, str(tmp_path)).first()["vocab_size"] == 1001
     assert compare_queries.word_bigrams(spark, str(tmp_path)).count() == 999
     assert compare_queries.candidate_pairs(spark, str(tmp_path)).first()["shared"] == 999
+
+
+def test_gram_digests_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(units, "SLICE_WORDS", 40)
+    monkeypatch.setattr(units, "SLICE_UNITS", 3)
+    rng = random.Random(8)
+    texts = [[" ".join(rng.choice("abcdé") for _ in range(rng.choice([0, 3, 9, 20]))) for _ in range(11)] for _ in range(2)]
+    c = Compare(side(spark, *texts[0]), side(spark, *texts[1]))
+    want = c.idf().groupBy("df").agg(F.count("*"), F.sum(compare_queries._digest("gram")), F.round(F.min("idf"), 9)).collect()
+    before = shared.written(spark)
+    got = c.gram_digests().select("df", "grams", "digest", F.round("idf", 9)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 3
+    assert shared.written(spark) == before  # no slice stays on disk
