@@ -191,3 +191,17 @@ def test_candidates_write_hashes_only(spark):
     assert shared.written(spark) - before == 3  # hashes of the left side, index of the right one, pairs
     assert [f.dataType.simpleString() for f in spark.read.parquet(lean.sides[0].stored(True)).drop("block").schema] == ["bigint", "array<bigint>"]
     assert spark.read.parquet(lean.sides[0].stored(True)).select("block").distinct().count() > 1
+
+
+def test_pairs_score_only_what_keeps_a_block(spark):
+    a = side(spark, "a b c d x e f", "p q r s t u v w", "a b c zz d e f yy")
+    b = side(spark, "a b c d y e f", "p q r s t u v w", "b c d a e f g")
+    p = Params(max_candidates=None, min_shared=1)
+    c, whole = Compare(a, b, p), Compare(a, b, p)
+    whole.scored()
+    want = sorted(whole.pairs().collect())
+    assert sorted(c.pairs().collect()) == want and want and whole.scored().count() > len(want)
+    assert "scored" not in c._kept_tables and c._kept_tables["scored kept"].count() == len(want)
+    bare = Compare(a, b, p)
+    got = bare.pairs(score=False)
+    assert sorted(got.collect()) == sorted(whole.pairs().drop("score").collect()) and bare._stored_weights is None
