@@ -205,3 +205,32 @@ def test_pairs_score_only_what_keeps_a_block(spark):
     bare = Compare(a, b, p)
     got = bare.pairs(score=False)
     assert sorted(got.collect()) == sorted(whole.pairs().drop("score").collect()) and bare._stored_weights is None
+
+
+def test_dense_in_bands_leaves_bounded_tables(spark, monkeypatch):
+    """Bands, parts, strips and slices so small that many arise: all pairs with a common gram, nothing shuffled, slices deleted."""
+    from stemmata.operators import bands
+
+    for name, value in (("BAND_UNITS", 5), ("PART_UNITS", 4), ("LEAST_UNITS", 3), ("JOINED", 4), ("OUT_ROWS", 7), ("GRAM_UNITS", 3), ("SLICE_WORDS", 60), ("RANGES", 4), ("CELLS", 9)):
+        monkeypatch.setattr(bands, name, value)
+    r = random.Random(6)
+    text = lambda: " ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 3, 9, 14])))
+    ls, rs = [text() for _ in range(17)], [text() for _ in range(19)]
+    left, right = side(spark, *ls), side(spark, *rs)
+    whole = Compare(left, right, Params(max_candidates=None, min_shared=1))
+    w = {n: defaultdict(dict) for n in (1, 2)}
+    for x in whole.weights().collect():
+        w[x["side"]][x["unit"]][x["key"]] = x["w"]
+    size = {(x["side"], x["unit"]): x["norm"] for x in whole.norms().collect()}
+    want = {}
+    for i, x in w[1].items():
+        for j, y in w[2].items():
+            if x.keys() & y.keys():
+                want[i, j] = sum(x[k] * y[k] for k in x.keys() & y.keys()) / size[1, i] / size[2, j]
+    before = shared.written(spark)
+    c = Compare(Side(left, whole=False), Side(right, whole=False))
+    got = c.all_pairs()
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert {(g["i"], g["j"]): g["score"] for g in rows} == pytest.approx(want) and len(rows) == len(want) > 20
+    assert shared.written(spark) - before == 5  # hashes of both sides, their weights, those of the right side by gram
