@@ -234,3 +234,26 @@ def test_dense_in_bands_leaves_bounded_tables(spark, monkeypatch):
     rows = got.collect()
     assert {(g["i"], g["j"]): g["score"] for g in rows} == pytest.approx(want) and len(rows) == len(want) > 20
     assert shared.written(spark) - before == 5  # hashes of both sides, their weights, those of the right side by gram
+
+
+def test_hashed_words_as_tokenised(spark, tmp_path):
+    """Sides of hashes have the words of the whole ones, and keep the same blocks."""
+    from stemmata.operators import units
+    from stemmata.plans import compare_queries as q
+
+    r = random.Random(11)
+    odd = ["(12)", "a(3)b", "((1)2)x", "[7]", "Λόγος", "λογοσ", "ﷺ", "x-y", "½", "_z", "\u00a0", "\u2003", "\x1c", "\n", "e\u0301", "…", "ΑΣ", "x²", "(1", "2)", "٣"]
+    long = lambda n: " ".join(r.choice(odd) if r.random() < 0.4 else f"w{r.randrange(60)}" for _ in range(n))
+    shared_text = " ".join(f"λόγος{k}" for k in range(12))
+    texts = [None, "", " ", "\u00a0", *odd, *[long(n) for n in (5, 25, 26, 139, 140, 141, 255, 256, 400)], shared_text + " a b", "c " + shared_text.upper()]
+    spark.createDataFrame([(k, f"L{k}", t) for k, t in enumerate(texts)], "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lean, whole = q.comparison(spark, str(tmp_path), whole="texts"), q.comparison(spark, str(tmp_path))
+    for a, b in zip(lean.sides, whole.sides):
+        text = dict(zip(*(sum(c, []) for c in zip(*[(x["keys"], x["texts"]) for x in a.units.collect() if x["keys"]]))))
+        got = {x["unit"]: [text[w] for w in x["words"]] for x in a.units.collect()}
+        assert got == {x["unit"]: x["norm"] for x in b.units.collect()} and len(got) > 30
+    cols = ("i", "j", "k", "d", "a", "n", "core", "n_blocks")
+    want = sorted(map(tuple, whole.kept().select(*cols).collect()))
+    assert sorted(map(tuple, lean.kept().select(*cols).collect())) == want and want
+    assert "norm" not in spark.read.parquet(lean.sides[1].stored(False)).columns
