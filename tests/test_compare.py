@@ -189,3 +189,15 @@ def test_gram_digests_in_slices(spark, monkeypatch):
     got = c.gram_digests().select("df", "grams", "digest", F.round("idf", 9)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 3
     assert shared.written(spark) == before  # no slice stays on disk
+
+
+def test_events_write_no_row_per_candidate(spark, tmp_path):
+    # 60 sections and windows that share three bigrams pairwise, two of them a block; enough others for the cap
+    sections = [(i, f"L{i}", f"a b c d {'k l m n o p' if i < 2 else ''} z{i}") for i in range(60)]
+    documents = [(j, f"a b c d {'k l m n o p' if j < 2 else ''} y{j}") for j in range(30)] + [(j, "x") for j in range(30, 60)]
+    spark.createDataFrame(sections, "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lean, whole = (compare_queries.comparison(spark, str(tmp_path), whole=w) for w in ("texts", True))
+    want = sorted(map(tuple, whole.events(every=7).collect()))
+    assert sorted(map(tuple, lean.events(every=7).collect())) == want and len(want) > 1800
+    assert "scored" not in lean._kept_tables and lean.packed().total() == 1800
