@@ -257,3 +257,22 @@ def test_hashed_words_as_tokenised(spark, tmp_path):
     want = sorted(map(tuple, whole.kept().select(*cols).collect()))
     assert sorted(map(tuple, lean.kept().select(*cols).collect())) == want and want
     assert "norm" not in spark.read.parquet(lean.sides[1].stored(False)).columns
+
+
+@pytest.mark.parametrize("numbered", [4_000_000, 0])
+def test_subwords_scored_from_hashes(spark, tmp_path, monkeypatch, numbered):
+    """Scores by subwords of sides of hashes are those of whole sides, and neither words nor subwords are written as texts."""
+    from stemmata.operators import bands
+    from stemmata.plans import compare_queries as q
+
+    monkeypatch.setattr(bands, "NUMBERED", numbered)
+    r = random.Random(12)
+    text = lambda: " ".join(r.choice(["ab", "abc", "c", "Ba(3)", "cab", "αβ"]) for _ in range(r.randint(0, 30)))
+    spark.createDataFrame([(k, f"L{k}", text()) for k in range(30)], "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame([(k, text()) for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    p = Params(max_candidates=None, cap_words=None, merges=(("a", "b"), ("ab", "</w>"), ("c", "</w>")), stop=frozenset({"c</w>"}))
+    lean, whole = (q.comparison(spark, str(tmp_path), p, whole=w) for w in (False, True))
+    rows = lambda c: {(x["i"], x["j"], x["shared"], x["rank"]): x["score"] for x in c.scored().collect()}
+    got, want = rows(lean), rows(whole)
+    assert got == pytest.approx(want) and len(want) > 100 and max(want.values()) > 0
+    assert all(f.dataType.simpleString() in ("bigint", "array<bigint>", "int") for f in spark.read.parquet(lean.sides[1].stored(False)).schema)
