@@ -276,3 +276,36 @@ def test_subwords_scored_from_hashes(spark, tmp_path, monkeypatch, numbered):
     got, want = rows(lean), rows(whole)
     assert got == pytest.approx(want) and len(want) > 100 and max(want.values()) > 0
     assert all(f.dataType.simpleString() in ("bigint", "array<bigint>", "int") for f in spark.read.parquet(lean.sides[1].stored(False)).schema)
+
+
+@pytest.mark.parametrize("ngram, n_out", [(4, 1), (2, 0), (3, 2), (5, 2)])
+def test_scores_of_few_symbols(spark, monkeypatch, ngram, n_out):
+    """Few subwords are scored without lists of their grams; these are counted with repeats, in pieces of some units."""
+    import math
+    from collections import Counter
+    from itertools import combinations
+
+    from stemmata.operators import bands
+    from stemmata.operators.subwords import encode_word
+
+    def no_lists(*_):
+        raise AssertionError("lists of grams are written")
+
+    monkeypatch.setattr(bands, "weighted", no_lists)
+    monkeypatch.setattr(bands, "gram_df", no_lists)
+    monkeypatch.setattr(bands, "LEFT_PLACES", 40)
+    monkeypatch.setattr(bands, "RIGHT_PLACES", 30)
+    merges, stop = (("a", "b"), ("ab", "</w>")), frozenset({"c</w>", "</w>"})
+    r = random.Random(ngram)
+    text = lambda: " ".join(r.choice(["ab", "abc", "c", "ba", "aaaa", "x"]) for _ in range(r.choice([0, 1, 2, 3, 9, 30])))
+    ls, rs = [text() for _ in range(12)], [text() for _ in range(12)]
+    subs = [[s for w in t.split() for s in encode_word(w, {m: i for i, m in enumerate(merges)}) if s not in stop] for t in ls + rs]
+    grams = [Counter(x for k in range(len(s) - ngram + 1) for x in combinations(s[k : k + ngram], ngram - n_out)) for s in subs]
+    df = Counter(g for c in grams for g in c)
+    w = [{g: n / sum(c.values()) * (math.log(1 + len(grams) / (1 + df[g])) + 1) for g, n in c.items()} for c in grams]
+    size = [math.sqrt(sum(v * v for v in x.values())) for x in w]
+    c = Compare(side(spark, *ls), side(spark, *rs), Params(min_shared=1, merges=merges, stop=stop, ngram=ngram, n_out=n_out))
+    of = c._scorer(c.packed())
+    got = {(i, j): s for band in range(c._blocks_of()[0]) if (x := of(band)) for i, j, s in zip(x[0].tolist(), x[1].tolist(), x[4].tolist())}
+    want = {(i, j): sum(v * w[12 + j].get(g, 0) for g, v in w[i].items()) / (size[i] * size[12 + j] or 1) for i, j in got}
+    assert got == pytest.approx(want) and len(got) >= 10 and max(got.values()) > 0 and got == {(x["i"], x["j"]): pytest.approx(x["score"]) for x in c.scored().collect()}
