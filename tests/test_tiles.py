@@ -309,3 +309,27 @@ def test_scores_of_few_symbols(spark, monkeypatch, ngram, n_out):
     got = {(i, j): s for band in range(c._blocks_of()[0]) if (x := of(band)) for i, j, s in zip(x[0].tolist(), x[1].tolist(), x[4].tolist())}
     want = {(i, j): sum(v * w[12 + j].get(g, 0) for g, v in w[i].items()) / (size[i] * size[12 + j] or 1) for i, j in got}
     assert got == pytest.approx(want) and len(got) >= 10 and max(got.values()) > 0 and got == {(x["i"], x["j"]): pytest.approx(x["score"]) for x in c.scored().collect()}
+
+
+@pytest.mark.parametrize("numbered", [4_000_000, 0])
+def test_subwords_spelled_once_per_word(spark, tmp_path, monkeypatch, numbered):
+    """Sides store words only and score by subwords of the vocabulary; ends of words are counted as those of all words."""
+    from stemmata.operators import bands
+    from stemmata.operators import subwords as S
+    from stemmata.plans import compare_queries as q
+
+    monkeypatch.setattr(bands, "NUMBERED", numbered)
+    r = random.Random(13)
+    text = lambda: " ".join(r.choice(["ab", "abc", "c", "Ba(3)", "cab ab", "½", "ΑΣ", "ΑΣ́.Β", "x\ny"]) for _ in range(r.randint(0, 30)))
+    texts = [None, "", " ", *[text() for _ in range(30)]]
+    spark.createDataFrame([(k, f"L{k}", t) for k, t in enumerate(texts)], "section_id long, label string, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame([(k, text()) for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    p = Params(max_candidates=None, cap_words=None, merges=(("a", "b"), ("ab", "</w>"), ("c", "</w>")), stop=frozenset({"c</w>"}))
+    lean, whole = (q.comparison(spark, str(tmp_path), p, whole=w) for w in ("texts", True))
+    rows = lambda c: {(x["i"], x["j"], x["shared"], x["rank"]): x["score"] for x in c.scores().collect()}
+    got, want = rows(lean), rows(whole)
+    assert got == pytest.approx(want) and len(want) > 100 and max(want.values()) > 0
+    assert set(spark.read.parquet(lean.sides[1].stored(False)).columns) == {"unit", "words", "block"}
+    s = spark.read.parquet(f"{tmp_path}/sections.parquet")
+    plain = [tuple(x) for x in S.stop_subwords(S.word_frequencies(s, "text"), list(p.merges)).collect()]
+    assert [tuple(x) for x in S.most_frequent(S.ending_frequencies(s, "text", list(p.merges))).collect()] == plain and len(plain) == 3
